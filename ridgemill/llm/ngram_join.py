@@ -37,8 +37,9 @@ from ridgemill.llm.shared import keep
 DEPTH = 4
 #: A column with more rows is multiplied by blocks.
 BUCKET = 16
-#: A shingle in more rows counts as frequent. Only the order depends on it.
-FREQUENT = 32
+#: A shingle in more rows counts as frequent. Only the order depends on it; as
+#: BUCKET or less, it keeps frequent shingles out of the first product.
+FREQUENT = BUCKET
 #: Most frequent shingles that are broadcast (8 bytes each).
 MOST_FREQUENT = 1_000_000
 #: Shingles in a block of rows.
