@@ -281,7 +281,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         for block, sets in _sets(batches, width):
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), textops.lists(sets, pa.int64())], names=["doc_id", "tokens"])
 
-    sets = keep(named.join(needed, "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, tokens array<long>"))
+    # the ids grow with the input: they are shuffled, not broadcast, at every size
+    sets = keep(named.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, tokens array<long>"))
 
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
