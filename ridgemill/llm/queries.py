@@ -38,7 +38,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    scored = score(docs, teach(docs, _table(spark, sf_dir, "labels")))
+    scored = score(docs.select("doc_id", "text"), teach(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "n_segments", "worst_begin", "worst_end")
 
 

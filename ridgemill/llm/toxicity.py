@@ -3,6 +3,8 @@
 Each token has a score: its log-odds between labelled toxic and other
 documents, under Dirichlet priors in proportion to its overall frequency, kept
 only where it stands out from its standard error; every token costs DRIFT.
+Since words are inflected, a word has several forms, itself and its openings of
+STEMS bytes, and scores as the form that stands out most.
 One linear scan per document finds all maximal-scoring segments. A segment's
 score S in a text of m tokens has the extreme-value tail
 ``P(max >= S) = 1 - exp(-K m exp(-lambda S))``; lambda solves
@@ -25,12 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgemill.llm import textops
+from ridgemill.llm.shared import keep
 
 BUCKETS = 1 << 20
-#: Weight of the prior, in documents.
-PRIOR = 20.0
+#: Weight of the prior, as a share of the counts.
+PRIOR = 0.05
+#: Lengths of a word's openings that count as forms of it, in bytes.
+STEMS = (4, 6, 8)
+#: Occurrences in a document that count, so that repeated lines do not decide.
+REPEATS = 4
+#: Occurrences (of both labels) from which a form is scored.
+LEAST = 4
 #: Standard errors by which a token's log-odds must differ from 0.
-MARGIN = 3.0
+MARGIN = 4.0
 #: What each token costs a segment.
 DRIFT = 0.05
 #: Labelled documents (at most) for the last fit, of two numbers each: the
@@ -50,32 +59,59 @@ class Model:
     empty: float
 
 
-def _buckets(batches):
+def _forms(words: textops.Words) -> np.ndarray:
+    """Buckets of each word and of its openings, a row per form; BUCKETS where a
+    word is no longer than the opening."""
+    out = [(words.hashes(lower=True) & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    lengths = words.ends - words.starts
+    for size in STEMS:
+        longer = np.flatnonzero(lengths > size)
+        sums = np.full(len(longer), size * 0x9E3779B9, dtype=np.uint64)
+        for i in range(size):
+            sums += textops.BYTE_CODES[textops.LOWER[words.data[words.starts[longer] + i]]] * textops.powers(size)[i]
+        form = np.full(len(lengths), BUCKETS, dtype=np.int64)
+        form[longer] = textops.mix(sums) & np.uint64(BUCKETS - 1)
+        out.append(form)
+    return np.array(out)
+
+
+def _blocks(batches):
     for batch in batches:
         for block in textops.blocks(batch):
             words = textops.split(block.column("text"), textops.NO_LETTERS)
-            yield block, words.first, (words.hashes(lower=True) & np.uint64(BUCKETS - 1)).astype(np.int64)
+            yield block, words.first, _forms(words)
 
 
 def _tally(batches):
-    """(bucket, toxic, clean): documents of each label that hold the bucket."""
-    counts = np.zeros((2, BUCKETS), dtype=np.int64)
-    for block, first, buckets in _buckets(batches):
+    """(bucket, toxic, clean): occurrences by label, at most REPEATS of a document;
+    bucket -1 has all words."""
+    counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+    words = np.zeros(2, dtype=np.int64)
+    for block, first, forms in _blocks(batches):
         labels = block.column("toxic").to_numpy()
         for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-            counts[labels[i], np.unique(buckets[a:b])] += 1
+            used, n = np.unique(forms[:, a:b], return_counts=True)
+            counts[labels[i], used] += np.minimum(n, REPEATS)
+            words[labels[i]] += b - a
+    counts = counts[:, :BUCKETS]
     used = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[1, used]), pa.array(counts[0, used])], names=["bucket", "toxic", "clean"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, used)), pa.array(np.append(words[1], counts[1, used])), pa.array(np.append(words[0], counts[0, used]))], names=["bucket", "toxic", "clean"])
 
 
 def token_weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
     """Log-odds with an informative Dirichlet prior, 0 where within MARGIN errors."""
-    share = (toxic + clean) / max(1, n_toxic + n_clean)
-    a, b = toxic + PRIOR * share, clean + PRIOR * share
+    prior = PRIOR * (toxic + clean)
+    a, b = toxic + prior, clean + prior
     with np.errstate(divide="ignore", invalid="ignore"):
-        odds = np.log(a / (n_toxic + PRIOR)) - np.log(b / (n_clean + PRIOR))
+        odds = np.log(a / (n_toxic + PRIOR * (n_toxic + n_clean))) - np.log(b / (n_clean + PRIOR * (n_toxic + n_clean)))
         error = np.sqrt(1 / a + 1 / b)
-        return np.where((toxic + clean > 0) & (np.abs(odds) > MARGIN * error), odds, 0.0)
+        return np.where((toxic + clean >= LEAST) & (np.abs(odds) > MARGIN * error), odds, 0.0)
+
+
+def token_scores(weights: np.ndarray, forms: np.ndarray) -> np.ndarray:
+    """The weight of each word's form that stands out most, less DRIFT."""
+    each = weights[forms]
+    return each[np.abs(each).argmax(axis=0), np.arange(each.shape[1])] - DRIFT
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -97,10 +133,6 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(b), int(e), float(r - lo)) for b, e, lo, r, _ in found]
 
 
-def _scan(weights: np.ndarray, buckets: np.ndarray) -> list[tuple[int, int, float]]:
-    return segments(weights[buckets] - DRIFT)
-
-
 def significance(found: list[tuple[int, int, float]], tokens: int, rate: float, scale: float) -> float:
     """Sum over segments of -log10 of their chance, those of one or more left out."""
     total = 0.0
@@ -133,24 +165,29 @@ def fit(train: DataFrame) -> Model:
     without rows).
     """
     rows = train.select(F.col("doc_id").cast("string").alias("key"), F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS)))
+    rows = keep(rows.withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS))))
     sizes = {r["toxic"]: r["n"] for r in rows.where("fold > 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     tally = rows.where("fold > 0").select("text", "toxic").mapInArrow(_tally, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    table = tally.toPandas()  # BUCKETS rows at most
-    toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    table = tally.where(F.col("toxic") + F.col("clean") >= LEAST).toPandas()  # BUCKETS + 1 rows at most
+    toxic, clean = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     toxic[table["bucket"]], clean[table["bucket"]] = table["toxic"], table["clean"]
-    weights = token_weights(toxic, clean, sizes.get(1, 0), sizes.get(0, 0))
-    rate = _rate(np.append(weights - DRIFT, -DRIFT), np.append(clean, 1e-9)) if sizes.get(0) else 1.0
+    n_toxic, n_clean = toxic[-1], clean[-1]
+    toxic[-1] = clean[-1] = 0
+    weights = token_weights(toxic, clean, n_toxic, n_clean)
+    marked = weights != 0
+    plain = max(1.0, n_clean - clean[marked].sum())
+    rate = _rate(np.append(weights[marked], 0.0) - DRIFT, np.append(clean[marked], plain)) if n_clean else 1.0
 
     shared = train.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def best(batches):
-        for block, first, buckets in _buckets(batches):
-            found = [_scan(shared.value, buckets[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column("toxic"), pa.array(np.diff(first)), pa.array([[s for _, _, s in f] for f in found], pa.list_(pa.float64()))], names=["toxic", "tokens", "scores"])
+        for block, first, forms in _blocks(batches):
+            scores = token_scores(shared.value, forms)
+            found = [segments(scores[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([block.column("key"), block.column("toxic"), pa.array(np.diff(first)), pa.array([[s for _, _, s in f] for f in found], pa.list_(pa.float64()))], names=["key", "toxic", "tokens", "scores"])
 
-    sample = rows.where("fold = 0").orderBy(F.xxhash64("key", "toxic"), "text").limit(CALIBRATION).select("text", "toxic")
-    held = sample.mapInArrow(best, "toxic int, tokens long, scores array<double>").toPandas()
+    sample = rows.where("fold = 0").select("key", "text", "toxic").mapInArrow(best, "key string, toxic int, tokens long, scores array<double>")
+    held = sample.orderBy(F.xxhash64("key", "toxic"), "tokens", "scores").limit(CALIBRATION).toPandas()
     clean_rows = held[held["toxic"] == 0]
     # method of moments: the mean of rate * max - log(tokens) is log K + Euler's constant
     shifted = [rate * max(s) - np.log(max(n, 1)) for s, n in zip(clean_rows["scores"], clean_rows["tokens"], strict=True) if len(s)]
@@ -176,8 +213,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+ADDED = ("score", "n_segments", "worst_begin", "worst_end")
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, n_segments, worst_begin, worst_end) for each row of `docs`.
+    """`docs` with score, n_segments, worst_begin and worst_end added (replaced
+    where they exist).
 
     score is in 0..1, rounded to 6 digits; n_segments counts the significant
     segments, the worst one is given in tokens (null without one). Null and
@@ -187,12 +228,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.weights)
     rate, scale, slope, base = model.rate, model.scale, model.slope, model.base
+    rows = docs.drop(*ADDED)
+    kept = rows.columns
 
     def run(batches):
-        for block, first, buckets in _buckets(batches):
+        for block, first, forms in _blocks(batches):
+            each = token_scores(shared.value, forms)
             scores, counts, begins, ends = [], [], [], []
             for a, b in zip(first[:-1], first[1:], strict=True):
-                found = _scan(shared.value, buckets[a:b])
+                found = segments(each[a:b])
                 limit = np.log(max(scale * max(b - a, 1), 1e-300))
                 real = [s for s in found if rate * s[2] > limit]
                 x = np.log1p(significance(real, b - a, rate, scale))
@@ -201,12 +245,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 worst = max(real, key=lambda s: (s[2], -s[0]), default=(None, None))
                 begins.append(worst[0])
                 ends.append(worst[1])
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())],
-                names=["doc_id", "score", "n_segments", "worst_begin", "worst_end"],
-            )
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in kept), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=[*kept, *ADDED])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, n_segments long, worst_begin long, worst_end long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, score double, n_segments long, worst_begin long, worst_end long")
 
 
 def held_out() -> F.Column:
@@ -217,4 +259,5 @@ def held_out() -> F.Column:
 def teach(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labelled documents that are not held out."""
     marks = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return fit(docs.select("doc_id", "text").join(marks, "doc_id"))
+    # labels grow with the documents: they are shuffled, not broadcast, at every size
+    return fit(docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id"))
