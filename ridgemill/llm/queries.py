@@ -51,7 +51,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_passages(_table(spark, sf_dir, "documents"), length=50)
+    return dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

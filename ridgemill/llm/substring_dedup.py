@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgemill.llm import textops
+from ridgemill.llm.shared import keep
 
 #: Words in a run that can be an anchor.
 GRAM = 12
@@ -163,7 +164,7 @@ def _later(batches):
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(late)) for c in ("doc_id", "seq", "at")], names=["doc_id", "seq", "at"])
 
 
-def _cut(length: int, with_text: bool):
+def _cut(length: int, with_text: bool, passed: list[str]):
     def run(batches):
         for batch in batches:
             for block in textops.blocks(batch):
@@ -194,7 +195,7 @@ def _cut(length: int, with_text: bool):
                     digests.append(hashlib.sha256(kept).hexdigest())
                     if with_text:
                         kept_texts.append(kept.decode() if gone.any() else texts[i].as_py())
-                columns = {"doc_id": block.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+                columns = {c: block.column(c) for c in passed} | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
                 if with_text:
                     columns["kept"] = pa.array(kept_texts, pa.string())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -203,7 +204,8 @@ def _cut(length: int, with_text: bool):
 
 
 def dedup_passages(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]) for each row of `docs`.
+    """`docs` with n_words, n_removed, kept_sha256 and, if `with_text`, kept added
+    (replaced where they exist); text goes out only if `with_text`.
 
     Words are runs of non-space bytes, unchanged. kept_sha256 is that of the
     kept words joined by one space; `kept` is the text itself where nothing
@@ -212,17 +214,15 @@ def dedup_passages(docs: DataFrame, length: int = 50, with_text: bool = False) -
     Null and empty texts have no words (`kept` stays null or as it is). Windows
     are judged on the input, not on what is left. Repeats inside one document
     do not count, so rows that repeat a doc_id keep what only they share. Rows
-    without doc_id are returned whole and are no source for others. Other
-    columns are ignored. No rows give no rows.
+    without doc_id are returned whole and are no source for others. No rows
+    give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = docs.where(F.col("doc_id").isNotNull())
+    docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept", "lost").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    named = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     anchors = named.mapInArrow(_anchors(length), "anchor long, seq long, doc_id long, first boolean")
     found = anchors.repartition("anchor").sortWithinPartitions("anchor", "seq", "doc_id").mapInArrow(_repeated, "doc_id long, seq long, anchor long")
     per_doc = found.groupBy("doc_id", "seq").agg(F.collect_set("anchor").alias("anchors"), F.max(F.col("anchor").isNull()).alias("copy"))
 
-    from ridgemill.llm.shared import keep
-
     per_doc = keep(per_doc)
     suspects = named.join(per_doc.where("not copy and size(anchors) > 0").select("doc_id", "seq", "anchors"), "doc_id")
     windows = suspects.select("doc_id", "text", "seq", "anchors").mapInArrow(_windows(length), "window long, doc_id long, seq long, at int")
@@ -230,5 +230,6 @@ def dedup_passages(docs: DataFrame, length: int = 50, with_text: bool = False) -
     spans = late.groupBy("doc_id", "seq").agg(F.collect_list("at").alias("at")).select("doc_id", "seq", F.lit(False).alias("copy"), "at")
     copies = per_doc.where("copy").select("doc_id", "seq", "copy", F.array().cast("array<int>").alias("at"))
     lost = spans.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "copy", "at")).alias("lost"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
-    return docs.join(lost, "doc_id", "left").mapInArrow(_cut(length, with_text), schema)
+    passed = [f for f in docs.schema.fields if with_text or f.name != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed) + ", n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+    return docs.join(lost, "doc_id", "left").mapInArrow(_cut(length, with_text, [f.name for f in passed]), schema)
