@@ -23,3 +23,62 @@ reached(doc_id, other) AS (
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c USING (doc_id)
 """
+
+_GRAMS = "list_distinct(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' ')))"
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+DECONTAMINATION = rf"""
+WITH items AS (SELECT item_id, w, least(5, len(w)) AS width FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+item_grams AS (SELECT item_id, width, unnest({_GRAMS}) AS g, len({_GRAMS}) AS n_item FROM items),
+docs AS (SELECT doc_id, width, w FROM (SELECT doc_id, {_WORDS} AS w FROM documents), (SELECT DISTINCT width FROM items) WHERE len(w) >= width),
+doc_grams AS (SELECT doc_id, width, unnest({_GRAMS}) AS g FROM docs)
+SELECT doc_id, item_id, n_item::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*) / n_item::DOUBLE AS containment
+FROM doc_grams JOIN item_grams USING (width, g) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""
+
+SUBSTRING_DEDUP = rf"""
+WITH texts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts)),
+late AS (SELECT w.doc_id, w.i FROM windows w JOIN (SELECT t, min(doc_id) AS first FROM windows GROUP BY t HAVING min(doc_id) < max(doc_id)) f ON f.t = w.t AND f.first < w.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, (len(t.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.k, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""
+
+_ESCAPED = r"replace(replace({c}, '\', '\\'), '<|', '<\|')"
+
+CHAT_FORMATTING = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+placed AS (
+  SELECT *, sum(length({_ESCAPED.format(c="role")}) + length({_ESCAPED.format(c="text")}) + {len("<|im_start|><|im_sep|><|im_end|>") + 1}) OVER w AS upto,
+    row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  coalesce(sum(upto) FILTER (role = 'assistant' OR n = n_turns), 0)::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+_REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+URL_FILTERS = rf"""
+WITH cut AS (SELECT page_id, {_REST} AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (
+  SELECT *, CASE WHEN {_fits("example.net", "/en/")} THEN 'example.net/en/' WHEN {_fits("example.com", "/de/")} THEN 'example.com/de/'
+    WHEN {_fits("org", "/fr/")} THEN 'org/fr/' WHEN {_fits("net", "/")} THEN 'net/' END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+"""

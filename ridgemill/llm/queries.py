@@ -89,4 +89,8 @@ QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_ben
 
 ORACLES = {
     "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op3_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op6_chat_formatting": oracles.CHAT_FORMATTING,
+    "op7_url_filters": oracles.URL_FILTERS,
 }

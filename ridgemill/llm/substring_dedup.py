@@ -1,19 +1,27 @@
-"""Removal of passages that also start in a document with a smaller id.
+"""Removal of passages that also start in a document with a smaller id, by
+suffix automata of reference shards.
 
 A window is `length` consecutive words. A word goes if a window that covers it
 equals a window of a document with a smaller doc_id.
 
-1. Anchors: equal windows have the same smallest hash among their runs of GRAM
-   words, so a window can only repeat if its anchor does. A document has few
-   distinct anchors (about 2 in 40 words); they are shuffled by hash, and a
-   stream over the sorted rows finds those of two or more different texts. The
-   same stream finds whole copies: they lose every word, and only the smallest
-   id of each text goes on.
-2. Windows with repeated anchors are hashed whole and shuffled; in the sorted
-   stream the first document of a hash keeps it, later ones lose it.
-3. Documents are read once more and cut.
-
-No step holds the rows of one hash together, and nothing is broadcast.
+Every document is reference for the later ones, so the reference grows with the
+input and cannot be broadcast. Its shards are routed instead:
+
+1. Equal windows have the same anchor, the smallest hash among their runs of
+   GRAM words. A document's distinct anchors (about 2 in 40 words) are shuffled
+   by hash, and a stream over the sorted rows finds those of two or more
+   different texts. The same stream finds whole copies: they lose every word,
+   and only the smallest id of each text goes on.
+2. The stretch of windows around each such anchor goes to the anchor's shard. In
+   ascending order of doc_id each stretch is streamed through the shard's
+   automaton, which holds the stretches of smaller ids: where the matching
+   statistic reaches `length`, a window ends that must go. Then the stretch is
+   added. Anchors of more than SHARD texts have no shard, which would outgrow a
+   task: their windows are shuffled one by one, by hash, and the first document
+   of a hash keeps the window.
+3. Documents are read once more and the maximal spans cut.
+
+No step holds an unbounded group, and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -26,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgemill.llm import textops
+from ridgemill.llm.automaton import SuffixAutomaton
 from ridgemill.llm.shared import keep
 
 #: Words in a run that can be an anchor.
 GRAM = 12
+#: Texts (at most) whose stretches an automaton holds.
+SHARD = 200
 
 
 def sequence_hash(hashes: np.ndarray) -> int:
@@ -120,48 +131,110 @@ def _repeated(batches):
         held = (anchor[last_head], seq[last_head], doc[last_head], False, held_multi)
 
 
-def _windows(length: int):
+def _stretches(length: int):
+    """Rows for step 2: (key, doc_id, seq, at, codes). key is an anchor and codes
+    the 32-bit codes of a stretch, or key is a window's hash and codes are null."""
+
     def run(batches):
         weights = textops.powers(length + 1)[1:]
         for batch in batches:
             for block in textops.blocks(batch):
                 words = textops.split(block.column("text"))
                 hashes = words.hashes()
-                anchors = block.column("anchors")
-                offsets, values = anchors.offsets.to_numpy(), anchors.values.to_numpy().view(np.uint64)
+                lists = [(c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in (block.column("anchors"), block.column("hot"))]
                 ids, want = block.column("doc_id").to_numpy(), block.column("seq").to_numpy()
-                out = []
+                keys, docs, seqs, places, codes = [], [], [], [], []
                 for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
                     own = hashes[a:b]
                     if len(own) < length or sequence_hash(own) != want[i]:
                         continue
-                    at = np.flatnonzero(np.isin(window_anchors(own, length), values[offsets[i] : offsets[i + 1]]))
+                    low = window_anchors(own, length)
+                    edges = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+                    ends = np.append(edges[1:], len(low))
+                    anchors, hot = (values[offsets[i] : offsets[i + 1]] for offsets, values in lists)
+                    near = np.flatnonzero(np.isin(low[edges], anchors))
+                    short = (own >> np.uint64(32)).astype("<u4")
+                    keys.append(low[edges[near]])
+                    places.append(edges[near])
+                    codes += [short[s : e + length - 1].tobytes() for s, e in zip(edges[near].tolist(), ends[near].tolist(), strict=True)]
+                    at = np.flatnonzero(np.isin(low, hot))
                     full = np.zeros(len(at), np.uint64)
                     for k in range(length):
                         full += own[at + k] * weights[k]
-                    out.append((textops.mix(full).view(np.int64), np.full(len(at), ids[i]), np.full(len(at), want[i]), at.astype(np.int32)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["window", "doc_id", "seq", "at"])
+                    keys.append(textops.mix(full))
+                    places.append(at)
+                    codes += [None] * len(at)
+                    docs.append(np.full(len(near) + len(at), ids[i]))
+                    seqs.append(np.full(len(near) + len(at), want[i]))
+                if codes:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(seqs)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(codes, pa.binary())],
+                        names=["key", "doc_id", "seq", "at", "codes"],
+                    )
 
     return run
 
 
-def _later(batches):
-    """Rows sorted by (window, doc_id) -> the rows of other documents than the first."""
-    window, lead = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        w, doc = batch.column("window").to_numpy(), batch.column("doc_id").to_numpy()
-        start = np.append(window is None or w[0] != window, w[1:] != w[:-1])
-        heads = np.flatnonzero(start)
-        run = np.cumsum(start) - 1
-        leads = np.append(lead if lead is not None else 0, doc[heads])
-        mine = leads[run + 1]
-        late = np.flatnonzero(doc > mine)
-        window, lead = w[-1], mine[-1]
-        if len(late):
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(late)) for c in ("doc_id", "seq", "at")], names=["doc_id", "seq", "at"])
+class _Shard:
+    """The stretches of one anchor so far."""
+
+    def __init__(self, key: int) -> None:
+        self.key, self.automaton, self.doc = key, SuffixAutomaton(), None
+        self.known: set[bytes] = set()
+        self.waiting: list[bytes] = []
+        self.fresh: list[bytes] = []
+
+    def late(self, doc: int, codes: bytes, length: int) -> list[int]:
+        """Windows of a stretch, from its start, that a smaller id's stretch holds."""
+        if doc != self.doc:  # what the document before had is reference now
+            self.known.update(self.waiting)
+            self.fresh += self.waiting
+            self.waiting, self.doc = [], doc
+        if codes in self.known:
+            return list(range(len(codes) // 4 - length + 1))
+        self.waiting.append(codes)
+        if not self.known:
+            return []
+        for held in self.fresh:
+            self.automaton.add(np.frombuffer(held, "<u4").tolist())
+        self.fresh = []
+        found = self.automaton.statistics(np.frombuffer(codes, "<u4").tolist())
+        return [i - length + 1 for i, n in enumerate(found) if n >= length]
+
+
+def _later(length: int):
+    """Rows of `_stretches` sorted by (key, doc_id, at) -> (doc_id, seq, at) of the windows that go."""
+
+    def run(batches):
+        shard, window, lead = None, None, None
+        for batch in batches:
+            key, doc, seq, at = (batch.column(c).to_numpy() for c in ("key", "doc_id", "seq", "at"))
+            codes = batch.column("codes")
+            whole = codes.is_valid().to_numpy(zero_copy_only=False)
+            docs, seqs, places = [], [], []
+            single = np.flatnonzero(~whole)
+            if len(single):
+                w, d = key[single], doc[single]
+                start = np.append(window is None or w[0] != window, w[1:] != w[:-1])
+                leads = np.append(0 if lead is None else lead, d[np.flatnonzero(start)])
+                mine = leads[np.cumsum(start)]
+                window, lead = w[-1], mine[-1]
+                gone = single[d > mine]
+                docs.append(doc[gone])
+                seqs.append(seq[gone])
+                places.append(at[gone])
+            for i in np.flatnonzero(whole):
+                if shard is None or shard.key != key[i]:
+                    shard = _Shard(key[i])
+                late = shard.late(doc[i], codes[i].as_py(), length)
+                if late:
+                    docs.append(np.full(len(late), doc[i]))
+                    seqs.append(np.full(len(late), seq[i]))
+                    places.append(at[i] + np.array(late, np.int32))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(seqs)), pa.array(np.concatenate(places).astype(np.int32))], names=["doc_id", "seq", "at"])
+
+    return run
 
 
 def _cut(length: int, with_text: bool, passed: list[str]):
@@ -221,15 +294,17 @@ def dedup_passages(docs: DataFrame, length: int = 50, with_text: bool = False) -
     named = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     anchors = named.mapInArrow(_anchors(length), "anchor long, seq long, doc_id long, first boolean")
     found = anchors.repartition("anchor").sortWithinPartitions("anchor", "seq", "doc_id").mapInArrow(_repeated, "doc_id long, seq long, anchor long")
-    per_doc = found.groupBy("doc_id", "seq").agg(F.collect_set("anchor").alias("anchors"), F.max(F.col("anchor").isNull()).alias("copy"))
-
-    per_doc = keep(per_doc)
-    suspects = named.join(per_doc.where("not copy and size(anchors) > 0").select("doc_id", "seq", "anchors"), "doc_id")
-    windows = suspects.select("doc_id", "text", "seq", "anchors").mapInArrow(_windows(length), "window long, doc_id long, seq long, at int")
-    late = windows.repartition("window").sortWithinPartitions("window", "doc_id").mapInArrow(_later, "doc_id long, seq long, at int")
+    found = keep(found)
+    crowded = found.where("anchor is not null").groupBy("anchor").count().where(F.col("count") > SHARD).select("anchor", F.lit(True).alias("crowded"))
+    marked = found.join(crowded.hint("merge"), "anchor", "left")
+    alone, many = F.col("anchor").isNotNull() & F.col("crowded").isNull(), F.col("crowded").isNotNull()
+    per_doc = keep(marked.groupBy("doc_id", "seq").agg(F.collect_set(F.when(alone, F.col("anchor"))).alias("anchors"), F.collect_set(F.when(many, F.col("anchor"))).alias("hot"), F.max(F.col("anchor").isNull()).alias("copy")))
+    suspects = named.join(per_doc.where("not copy").select("doc_id", "seq", "anchors", "hot").hint("merge"), "doc_id")
+    rows = suspects.select("doc_id", "text", "seq", "anchors", "hot").mapInArrow(_stretches(length), "key long, doc_id long, seq long, at int, codes binary")
+    late = rows.repartition("key").sortWithinPartitions("key", "doc_id", "at").mapInArrow(_later(length), "doc_id long, seq long, at int")
     spans = late.groupBy("doc_id", "seq").agg(F.collect_list("at").alias("at")).select("doc_id", "seq", F.lit(False).alias("copy"), "at")
     copies = per_doc.where("copy").select("doc_id", "seq", "copy", F.array().cast("array<int>").alias("at"))
     lost = spans.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "copy", "at")).alias("lost"))
     passed = [f for f in docs.schema.fields if with_text or f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed) + ", n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
-    return docs.join(lost, "doc_id", "left").mapInArrow(_cut(length, with_text, [f.name for f in passed]), schema)
+    return docs.join(lost.hint("merge"), "doc_id", "left").mapInArrow(_cut(length, with_text, [f.name for f in passed]), schema)

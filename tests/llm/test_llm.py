@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ridgemill.llm import ann, chat_format, components, decontaminate, ngram_join, packing, sharding, substring_dedup, textops, token_counts, tokens, toxicity, url_filter
+from ridgemill.llm import ann, automaton, chat_format, components, decontaminate, ngram_join, packing, sharding, substring_dedup, textops, token_counts, tokens, toxicity, url_filter
 
 DOCS = "doc_id long, text string"
 SPACE = re.compile(r"[^\x20\x09-\x0d]+")
@@ -291,8 +291,20 @@ def test_flat_files(spark, tmp_path):
 # --- 5 --------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("length", [50, 4, 13])
-def test_substring_dedup(table, length):
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=14), max_size=5), st.lists(st.integers(0, 3), max_size=14))
+def test_suffix_automaton(added, query):
+    machine = automaton.SuffixAutomaton()
+    for codes in added:
+        machine.add(codes)
+    runs = {tuple(c[i:j]) for c in added for i in range(len(c)) for j in range(i, len(c) + 1)} | {()}
+    assert machine.statistics(query) == [max(n for n in range(i + 2) if tuple(query[i + 1 - n : i + 1]) in runs) for i in range(len(query))]
+    assert len(machine.depth) <= 2 * sum(map(len, added)) + 1
+
+
+@pytest.mark.parametrize(("length", "shard"), [(50, 200), (4, 200), (13, 200), (13, 2), (50, 3)])
+def test_substring_dedup(table, monkeypatch, length, shard):
+    monkeypatch.setattr(substring_dedup, "SHARD", shard)
     rows = [*corpus(7), *[r for r in ODD if r[0] is not None], (906, "same id " * 60), (907, "same id " * 60)]
     first, texts = {}, {}
     for d, text in rows:
