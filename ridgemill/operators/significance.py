@@ -72,3 +72,19 @@ def parity(pairs: DataFrame) -> DataFrame:
 def verdict(gap: Column) -> Column:
     known = gap.isNotNull() & ~F.isnan(gap)
     return F.when(known & (gap < 1e-9), "PASS").when(known & (gap < 1e-6), "NEAR").otherwise("FAIL")
+
+
+def summary_text(result: DataFrame) -> str:
+    """Six numbers of coefficients and p-values, and counts of significant cells, as text."""
+    lines = ["measure      min       q1   median     mean       q3      max"]
+    for r in six_numbers(result).orderBy("measure").collect():  # two rows
+        lines.append(f"{r['measure']:<7}" + "".join(f" {r[c]:8.4g}" for c in ("min", "q1", "median", "mean", "q3", "max")))
+    lines += [f"p < {r['level']:g}: {r['hits']}" for r in significant(result).collect()]
+    return "\n".join(lines)
+
+
+def run_metadata(result: DataFrame, dataset: str, seconds: float, peak_mb: float, n_rand: int, lam: float, n_rows: int) -> DataFrame:
+    """One row that describes a run; samples are counted from its result."""
+    counts = result.agg(F.count_distinct("sample").alias("n_samples"))
+    fixed = {"dataset": dataset, "execution_time_sec": float(seconds), "peak_memory_mb": float(peak_mb), "n_rand": n_rand, "lambda": float(lam), "n_rows": n_rows}
+    return counts.select(*[F.lit(v).alias(k) for k, v in fixed.items()], "n_samples")

@@ -89,6 +89,10 @@ def test_summary(table):
     six = {x["measure"]: x for x in significance.six_numbers(r).collect()}
     assert six["beta"]["q1"] == pytest.approx(np.quantile(np.arange(1, 12), 0.25)) and six["beta"]["mean"] == 6
     assert {x["level"]: x["hits"] for x in significance.significant(r).collect()} == {0.1: 9, 0.05: 4, 0.01: 0, 0.001: 0}
+    text = significance.summary_text(r)
+    assert "beta" in text and "p < 0.05: 4" in text
+    meta = significance.run_metadata(r, "d", 1.5, 10, 5, 2, 30).first().asDict()
+    assert meta["n_samples"] == 2 and meta["lambda"] == 2.0 and meta["dataset"] == "d"
 
 
 def test_memory(table):
