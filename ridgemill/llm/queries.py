@@ -66,7 +66,7 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(_table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+    return judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
