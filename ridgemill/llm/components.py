@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemill.llm.shared import keep
+from ridgemill.llm.shared import discard, keep
 
 
 def _print(edges: DataFrame):
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = keep(small.union(root.select("a", F.col("m").alias("b"))).distinct())
+        last, edges = edges, keep(small.union(root.select("a", F.col("m").alias("b"))).distinct())
+        discard(last)
         now = _print(edges)
         if now == seen:
             break

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ridgemill.llm import textops
 from ridgemill.llm.components import components
-from ridgemill.llm.shared import keep
+from ridgemill.llm.shared import discard, keep
 
 #: Common shingles that two linked rows must have among their first ones.
 DEPTH = 4
@@ -73,7 +73,8 @@ def _profile(width: int, percent: int):
                 mixed = textops.mix(s ^ np.uint64(0x5851F42D4C957F2D))
                 sums.append(int(mixed.sum(dtype=np.uint64)))
                 xors.append(int(np.bitwise_xor.reduce(textops.mix(mixed))) if len(s) else 0)
-                heads.append(s[: 2 * (len(s) - _bound(len(s), percent) + DEPTH)])
+                need = len(s) - _bound(len(s), percent) + DEPTH
+                heads.append(s[: max(need, len(s) // 5 + DEPTH)])
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(sums), _signed(xors), textops.lists(heads, pa.int64())],
                 names=["doc_id", "n_shingles", "sig_a", "sig_b", "head"],
@@ -254,10 +255,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
-    profile = keep(docs.mapInArrow(_profile(width, percent), "doc_id long, n_shingles long, sig_a long, sig_b long, head array<long>"))
+    first = keep(docs.mapInArrow(_profile(width, percent), "doc_id long, n_shingles long, sig_a long, sig_b long, head array<long>"))
+    profile = keep(first.drop("head"))
     classes = profile.where("n_shingles > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
 
-    counts = profile.select(F.explode("head").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT)
+    counts = keep(first.select(F.explode("head").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT))
+    discard(first)
     hot = np.array([r.token for r in counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toLocalIterator()], dtype=np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
 
