@@ -428,4 +428,73 @@ def metadata_union(spark, sf_dir):
     return union_metadata([a, b])
 
 
+
+# --- whole tables -----------------------------------------------------------------
+# The queries of the same names without `_all` see the rows that their SQL names.
+
+
+@query("""
+WITH named AS (SELECT p_partkey AS ord, p_brand || CASE WHEN p_partkey % 11 = 0 THEN '.1' ELSE '' END AS name FROM part),
+seen AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) - 1 AS n FROM named),
+used AS (SELECT name, count(*) AS n FROM named GROUP BY name),
+tries AS (SELECT name, unnest(range(1, n + (SELECT count(*) FROM used))) AS k FROM used),
+free AS (SELECT t.name, t.k, row_number() OVER (PARTITION BY t.name ORDER BY t.k) AS n FROM tries t ANTI JOIN used u ON u.name = t.name || '.' || t.k)
+SELECT s.ord, s.name, CASE WHEN s.n = 0 THEN s.name ELSE s.name || '.' || f.k END AS unique_name
+FROM seen s LEFT JOIN free f ON f.name = s.name AND f.n = s.n""")
+def make_unique_all(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.concat("p_brand", F.when(F.col("p_partkey") % 11 == 0, ".1").otherwise("")).alias("name"))
+    return align.make_unique(names).select("ord", "name", "unique_name")
+
+
+@query("""WITH s AS (SELECT (p_size * 10)::BIGINT AS m, p_partkey % 90 AS batch FROM part), c AS (SELECT *, CASE WHEN batch <= 0 OR batch > m THEN m ELSE batch END AS b FROM s),
+e AS (SELECT m, batch, b, unnest(range(0, (m + b - 1) // b)) AS batch_id FROM c)
+SELECT m, batch, batch_id, batch_id * b AS first, least((batch_id + 1) * b, m) - 1 AS last, least((batch_id + 1) * b, m) - batch_id * b AS width FROM e""")
+def batch_plan_all(spark, sf_dir):
+    return memory.batch_plan(table(spark, sf_dir, "part").select((F.col("p_size") * 10).cast("long").alias("m"), (F.col("p_partkey") % 90).alias("batch")))
+
+
+@query("SELECT * FROM (SELECT user_id AS row_idx, event_type AS sample, round(sum(CASE WHEN event_id % 3 = 0 THEN value ELSE 0 END), 6) AS value FROM events GROUP BY ALL) WHERE value <> 0")
+def sparsify_all(spark, sf_dir):
+    y = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("row_idx"), F.col("event_type").alias("sample")).agg(F.sum(F.when(F.col("event_id") % 3 == 0, F.col("value")).otherwise(0.0)).alias("value"))
+    return align.sparsify(y).select("row_idx", "sample", r6("value"))
+
+
+#: All events, sparse by themselves: user x (event type, day of the month).
+_DAYS = "days AS MATERIALIZED (SELECT user_id::INT AS row_idx, event_type || '-' || day(ts) AS sample, sum(value) AS value FROM events GROUP BY ALL)"
+
+
+def y_days(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("user_id").cast("int").alias("row_idx"), F.concat_ws("-", "event_type", F.dayofmonth("ts")).alias("sample")).agg(F.sum("value").alias("value"))
+
+
+def x_users(spark, sf_dir) -> DataFrame:
+    """user x hour of the day (average value), for the users of `y_days`."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("user_id").cast("int").alias("row_idx"), F.hour("ts").cast("string").alias("feature")).agg(F.avg("value").alias("value"))
+
+
+@query(f"WITH {_DAYS} SELECT r.row_idx, s.sample, round(coalesce(d.value, 0), 6) AS value FROM (SELECT DISTINCT row_idx FROM days) r CROSS JOIN (SELECT DISTINCT sample FROM days) s LEFT JOIN days d USING (row_idx, sample)")
+def densify_all(spark, sf_dir):
+    y = y_days(spark, sf_dir)
+    return align.densify(y, y, y).select("row_idx", "sample", r6("value"))
+
+
+@query(f"WITH {_DAYS} SELECT row_idx, sample, round(CASE WHEN n > 1 AND sd > 1e-10 THEN (value - m) / sd ELSE 0 END, 6) + 0.0 AS value FROM (SELECT *, sqrt(greatest(s2 / n - m * m, 0)) AS sd FROM (SELECT *, avg(value) OVER w AS m, sum(value * value) OVER w AS s2, count(value) OVER w AS n FROM days WINDOW w AS (PARTITION BY sample)))")
+def zscore_sparse_nz_all(spark, sf_dir):
+    return scale.zscore_stored(y_days(spark, sf_dir)).select("row_idx", "sample", r6("value"))
+
+
+@query()
+def ridge_beta_sparse_all(spark, sf_dir):
+    y = y_days(spark, sf_dir)
+    t = solve.projection(x_users(spark, sf_dir), LAMBDA)
+    return solve.fill_cells(solve.product(t, y), t, y).select("feature", "sample", r6("value"))
+
+
+@query()
+def ridge_full_sparse_all(spark, sf_dir):
+    return shown(api.ridge(x_users(spark, sf_dir), y_days(spark, sf_dir), LAMBDA, N_RAND, engine="blocked"))
+
+
 __all__ = ["CATALOGUE"]
