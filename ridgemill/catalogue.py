@@ -497,4 +497,93 @@ def ridge_full_sparse_all(spark, sf_dir):
     return shown(api.ridge(x_users(spark, sf_dir), y_days(spark, sf_dir), LAMBDA, N_RAND, engine="blocked"))
 
 
+
+# --- all features -------------------------------------------------------------------
+# Without SQL, which would have to invert the matrix; tests compare with NumPy. The
+# queries of the same names without `_all` see the two features of `x_two`.
+
+
+def tested_all(spark, sf_dir, engine: str = "relational") -> DataFrame:
+    return api.ridge(x_scaled(spark, sf_dir), y_scaled(spark, sf_dir), LAMBDA, N_RAND, engine=engine, n_rows=N)
+
+
+@query()
+def projection_t_all(spark, sf_dir):
+    return solve.projection(x_scaled(spark, sf_dir), LAMBDA).select("feature", "row_idx", r6("value"))
+
+
+@query()
+def t_rowsum_all(spark, sf_dir):
+    return solve.row_sums(solve.projection(x_scaled(spark, sf_dir), LAMBDA)).select("feature", r6("value"))
+
+
+@query()
+def ridge_beta_all(spark, sf_dir):
+    return solve.product(solve.projection(x_scaled(spark, sf_dir), LAMBDA), y_scaled(spark, sf_dir)).select("feature", "sample", r6("value"))
+
+
+@query()
+def beta_colnorm_all(spark, sf_dir):
+    y = y_raw(spark, sf_dir)
+    t = solve.projection(x_scaled(spark, sf_dir), LAMBDA)
+    stats = y.groupBy("sample").agg(F.avg("value").alias("center"), F.stddev_samp("value").alias("scale"))
+    cells = solve.product(t, y).join(solve.row_sums(t).withColumnRenamed("value", "c"), "feature").join(stats, "sample")
+    return cells.select("feature", "sample", r6(scale.column_correction(F.col("value"), F.col("c"), F.col("center"), F.col("scale")), "value"))
+
+
+def _permuted_all(spark, sf_dir):
+    t = solve.projection(x_scaled(spark, sf_dir), LAMBDA)
+    y = y_scaled(spark, sf_dir)
+    return solve.product(t, y), significance.permuted_product(t, y, permutation_frame(spark, N, N_RAND))
+
+
+@query()
+def perm_beta_all(spark, sf_dir):
+    return _permuted_all(spark, sf_dir)[1].select("perm_id", "feature", "sample", r6("value"))
+
+
+@query()
+def perm_stats_all(spark, sf_dir):
+    return significance.permutation_stats(*_permuted_all(spark, sf_dir)).select("feature", "sample", r6("beta"), r6("s1"), r6("s2"), "hits")
+
+
+@query()
+def ridge_full_all(spark, sf_dir):
+    return shown(tested_all(spark, sf_dir))
+
+
+@query()
+def ridge_full_blocked_all(spark, sf_dir):
+    return shown(tested_all(spark, sf_dir, "blocked"))
+
+
+@query()
+def ridge_batched_all(spark, sf_dir):
+    return shown(ridge_batch(x_scaled(spark, sf_dir), _ordered(y_scaled(spark, sf_dir)), LAMBDA, N_RAND, batch_size=2, engine="blocked", n_rows=N), "batch_id")
+
+
+@query()
+def infer_pipeline_all(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("row_idx"), F.col("n_name").alias("row_key"))
+    y, x = y_raw(spark, sf_dir).join(names, "row_idx"), x_raw(spark, sf_dir).join(names, "row_idx")
+    return shown(api.infer(y.drop("row_idx"), x.drop("row_idx"), LAMBDA, N_RAND, add_background=True, scale_method="column", engine="blocked"))
+
+
+@query()
+def summary_stats_all(spark, sf_dir):
+    s = significance.six_numbers(tested_all(spark, sf_dir, "blocked"))
+    return s.select("measure", *[F.round(c, 6).alias(c) for c in ("min", "q1", "median", "mean", "q3", "max")])
+
+
+@query()
+def significance_counts_all(spark, sf_dir):
+    return significance.significant(tested_all(spark, sf_dir, "blocked"))
+
+
+@query()
+def parity_check_all(spark, sf_dir):
+    a, b = (r.select("feature", "sample", F.col("zscore").alias("value")) for r in (tested_all(spark, sf_dir), tested_all(spark, sf_dir, "blocked")))
+    return significance.parity(align.align_results(a, b)).select("verdict")
+
+
 __all__ = ["CATALOGUE"]

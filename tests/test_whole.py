@@ -10,6 +10,7 @@ from test_ridge import cells, numpy_ridge
 
 from ridgemill import catalogue
 from ridgemill.catalogue import CATALOGUE, LAMBDA, N_RAND
+from ridgemill.functions.permutations import mersenne_table
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
@@ -63,3 +64,44 @@ def test_sparse_ridge_over_all_users(spark):
     want = expected(x, y, features, samples)
     agree(cells(run(spark, "ridge_full_sparse_all")), want)
     agree(values(run(spark, "ridge_beta_sparse_all"), "sample"), {k: v[:1] for k, v in want.items()})
+
+
+def test_ridge_on_all_features(spark):
+    x, features = matrix(catalogue.x_scaled(spark, str(DATA)), "feature")
+    y, samples = matrix(catalogue.y_scaled(spark, str(DATA)), "sample")
+    assert len(features) == 5
+    want = expected(x, y, features, samples)
+    for name in ("ridge_full_all", "ridge_full_blocked_all", "ridge_batched_all"):
+        agree(cells(run(spark, name)), want)
+    only = {k: v[:1] for k, v in want.items()}
+    agree(values(run(spark, "ridge_beta_all"), "sample"), only)
+    agree(values(run(spark, "beta_colnorm_all"), "sample"), only)
+    t = np.linalg.solve(x.T @ x + LAMBDA * np.eye(5), x.T)
+    agree(values(run(spark, "projection_t_all"), "row_idx"), {(f, r): (t[i, r],) for i, f in enumerate(features) for r in range(25)})
+    assert {r["feature"]: r["value"] for r in run(spark, "t_rowsum_all").collect()} == pytest.approx(dict(zip(features, t.sum(1), strict=True)), abs=2e-6)
+    moved = {(r["perm_id"], r["feature"], r["sample"]): r["value"] for r in run(spark, "perm_beta_all").collect()}
+    table = mersenne_table(25, N_RAND)
+    assert moved == pytest.approx({(k, f, s): v for k in range(N_RAND) for f, line in zip(features, t @ y[table[k]], strict=True) for s, v in zip(samples, line, strict=True)}, abs=2e-6)
+    stats = run(spark, "perm_stats_all").collect()
+    assert {(r["feature"], r["sample"]): (r["hits"] + 1) / (N_RAND + 1) for r in stats} == pytest.approx({k: v[3] for k, v in want.items()})
+    p = np.array([v[3] for v in want.values()])
+    assert {r["level"]: r["hits"] for r in run(spark, "significance_counts_all").collect()} == {k: (p < k).sum() for k in (0.1, 0.05, 0.01, 0.001)}
+    six = {r["measure"]: r for r in run(spark, "summary_stats_all").collect()}
+    assert six["pvalue"]["median"] == pytest.approx(np.median(p), abs=2e-6)
+    assert run(spark, "parity_check_all").first()["verdict"] == "PASS"
+
+
+def test_infer_on_all_features_and_measures(spark):
+    names = {r["n_nationkey"]: r["n_name"] for r in spark.read.parquet(f"{DATA}/nation.parquet").collect()}
+    order = sorted(range(25), key=names.get)
+    x, features = matrix(catalogue.x_scaled(spark, str(DATA)), "feature")
+    y, samples = matrix(catalogue.y_scaled(spark, str(DATA)), "sample")
+    kept = [i for i in order if i in {r["row_idx"] for r in catalogue.y_raw(spark, str(DATA)).select("row_idx").distinct().collect()}]
+    cut, y = catalogue.x_raw(spark, str(DATA)), y[kept]
+    x = matrix(cut, "feature")[0][kept]
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    # the mean of a row is over its stored cells
+    stored = {(r["row_idx"], r["sample"]) for r in catalogue.y_raw(spark, str(DATA)).collect()}
+    counts = np.array([sum((i, s) in stored for s in samples) for i in kept])
+    x = np.column_stack([x, y.sum(1) / counts])
+    agree(cells(run(spark, "infer_pipeline_all")), expected(x, y, [*features, "background"], samples))
