@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ridgemill.functions.permutations import permutation_frame
 from ridgemill.model import RidgeError, RidgeRun, Status
 from ridgemill.operators import align, scale
-from ridgemill.plans.engines import blocked, relational, vectors
+from ridgemill.plans.engines import blocked, fits, relational, tiled, vectors
 
 #: Products (permutations x rows x features x samples) from which blocks are used.
 BLOCKED_FROM = 50_000_000
@@ -41,7 +41,8 @@ def ridge(
     y may leave zeros out. `samples` lists all samples where y may miss some;
     `n_rows` is the number of rows where neither table shows the last one.
     `stats` (sample, center, scale) gives the test of centred, scaled columns.
-    `engine` is ``relational`` or ``blocked``; None chooses by size. No
+    `engine` is ``relational``, ``blocked`` (``tiled`` where its broadcast would
+    be too large) or ``tiled``; None chooses by size. No
     intercept is fitted. Values that are missing count as 0; NaN in a column
     gives z = 0 and the smallest p for it. No samples give no rows.
     """
@@ -56,12 +57,13 @@ def ridge(
     if engine == "relational":
         perms = permutation_frame(spark, n_rows, n_rand, seed, rng_method)
         return relational(x, y, lam, n_rand, perms, listed, stats)
-    if engine != "blocked":
-        raise ValueError("engine must be relational or blocked")
+    if engine not in ("blocked", "tiled"):
+        raise ValueError("engine must be relational, blocked or tiled")
+    run = blocked if engine == "blocked" and fits(n_rows, x.agg(F.count_distinct("feature")).first()[0], n_rand) else tiled
     rows = vectors(y)
     if samples is not None:
         rows = listed.join(rows, "sample", "left").select("sample", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("val", F.array().cast("array<double>")).alias("val"))
-    return blocked(x, rows, lam, n_rand, n_rows, seed, rng_method, stats)
+    return run(x, rows, lam, n_rand, n_rows, seed, rng_method, stats)
 
 
 def ridge_lowlevel(x: DataFrame, y: DataFrame, lam: float = 1.0, n_rand: int = 1000, sparse: bool = False, **options) -> RidgeRun:

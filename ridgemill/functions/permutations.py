@@ -7,12 +7,16 @@ partitions. Shuffles are cumulative: each permutation starts from the last.
 from __future__ import annotations
 
 import ctypes
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgemill.session import ship
+
 #: The 32-bit Mersenne Twister's constants.
 STATE_SIZE, MIDDLE = 624, 397
 TWIST_MASK = 2567483615
@@ -22,6 +26,9 @@ DEFAULT_SEED = 4357
 
 LIMIT = 0xFFFFFFFF
 
+#: Draws taken, and tiles sent on, at a time.
+DRAWS, TILES = 65536, 1024
+
 
 def twister(seed: int) -> Iterator[np.ndarray]:
     """Blocks of 624 draws; seed 0 stands for the default seed."""
@@ -51,50 +58,99 @@ def twister(seed: int) -> Iterator[np.ndarray]:
         yield y ^ (y >> np.uint32(18))
 
 
-def _shuffles(draw: Iterator[int], limit: int, n: int, count: int) -> np.ndarray:
-    """`count` cumulative forward shuffles of 0..n-1."""
-    order = list(range(n))
+def _twister_draws(seed: int):
+    blocks, held = twister(seed), np.zeros(0, np.uint32)
+
+    def take(count: int) -> np.ndarray:
+        nonlocal held
+        parts, have = [held], len(held)
+        while have < count:
+            parts.append(next(blocks))
+            have += len(parts[-1])
+        every = np.concatenate(parts)
+        held = every[count:]
+        return every[:count].astype(np.int64)
+
+    return take
+
+
+def _libc_draws(seed: int):
+    libc = ctypes.CDLL(None)
+    libc.srand(ctypes.c_uint(seed & LIMIT))
+    return lambda count: np.fromiter((libc.rand() for _ in range(count)), np.int64, count)
+
+
+METHODS = {"mt19937": (_twister_draws, LIMIT), "srand": (_libc_draws, 2147483647)}
+
+
+def shuffles(n: int, count: int, seed: int, method: str) -> Iterator[np.ndarray]:
+    """`count` cumulative forward shuffles of 0..n-1. All are views of one order,
+    which the next shuffle changes: only that and the generator's state are held."""
+    draws, limit = METHODS[method]
+    take, order = draws(seed), array("i", range(n))
+    for _ in range(count):
+        for lo in range(0, n - 1, DRAWS):
+            i = np.arange(lo, min(lo + DRAWS, n - 1))
+            j = i + take(len(i)) // (limit // (n - i) + 1)
+            for a, b in enumerate(j.tolist(), lo):
+                order[a], order[b] = order[b], order[a]
+        yield np.frombuffer(order, np.intc)
+
+
+def _table(n: int, count: int, seed: int, method: str) -> np.ndarray:
     table = np.empty((count, n), dtype=np.int32)
-    widths = [limit // (n - i) + 1 for i in range(max(0, n - 1))]
-    for r in range(count):
-        for i, width in enumerate(widths):
-            j = i + next(draw) // width
-            order[i], order[j] = order[j], order[i]
-        table[r] = order
+    for row, order in zip(table, shuffles(n, count, seed, method), strict=True):
+        row[:] = order
     return table
 
 
 def mersenne_table(n: int, count: int, seed: int = 0) -> np.ndarray:
     """count x n source rows from the Mersenne Twister; the same everywhere."""
-    draws = (int(v) for block in twister(seed) for v in block)
-    return _shuffles(draws, LIMIT, n, count)
+    return _table(n, count, seed, "mt19937")
 
 
 def libc_table(n: int, count: int, seed: int = 0) -> np.ndarray:
     """count x n source rows from the C library's rand(): platform-dependent."""
-    libc = ctypes.CDLL(None)
-    libc.srand(ctypes.c_uint(seed & LIMIT))
-    draws = iter(libc.rand, -1)
-    return _shuffles(draws, 2147483647, n, count)
-
+    return _table(n, count, seed, "srand")
 
-METHODS = {"mt19937": mersenne_table, "srand": libc_table}
 
-
-def permutation_table(n: int, count: int, seed: int = 0, method: str = "mt19937") -> np.ndarray:
+def _checked(n: int, count: int, method: str) -> str:
     method = method.lower()
     if method not in METHODS:
         raise ValueError(f"rng_method must be one of {sorted(METHODS)}")
     if n < 1 or count < 1:
         raise ValueError("a permutation table needs at least one row and one permutation")
-    return METHODS[method](n, count, seed)
+    return method
+
+
+def permutation_table(n: int, count: int, seed: int = 0, method: str = "mt19937") -> np.ndarray:
+    return _table(n, count, seed, _checked(n, count, method))
+
+
+def permutation_tiles(spark: SparkSession, n: int, count: int, seed: int = 0, method: str = "mt19937", rows: int = 1024) -> DataFrame:
+    """The table as (perm_id, tile, src): src are the source rows of `rows` rows
+    from tile * rows on. One task makes it, as shuffles are cumulative, and holds
+    one permutation at a time."""
+    method = _checked(n, count, method)
+
+    def run(_):
+        starts = range(0, n, rows)
+        for perm_id, order in enumerate(shuffles(n, count, seed, method)):
+            for lo in range(0, len(starts), TILES):
+                part = starts[lo : lo + TILES]
+                src = order[part[0] : part[-1] + rows].copy()
+                offsets = np.minimum(np.arange(len(part) + 1) * rows, len(src)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(src, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([perm_id] * len(part), pa.int32()), pa.array(range(lo, lo + len(part)), pa.int32()), lists], names=["perm_id", "tile", "src"])
+
+    return ship(spark).range(0, 1, 1, 1).mapInArrow(run, "perm_id int, tile int, src array<int>")
 
 
 def permutation_frame(spark: SparkSession, n: int, count: int, seed: int = 0, method: str = "mt19937") -> DataFrame:
-    """The table as (perm_id, row_idx, src_idx), one input row per permutation."""
-    table = permutation_table(n, count, seed, method)
-    rows = spark.createDataFrame([(r, row.tolist()) for r, row in enumerate(table)], "perm_id int, src array<int>")
-    return rows.select("perm_id", F.posexplode("src").alias("row_idx", "src_idx"))
+    """The table as (perm_id, row_idx, src_idx), made by a task."""
+    rows = 1024
+    cells = permutation_tiles(spark, n, count, seed, method, rows).select("perm_id", "tile", F.posexplode("src").alias("at", "src_idx"))
+    return cells.select("perm_id", (F.col("tile") * rows + F.col("at")).alias("row_idx"), "src_idx")
 
 
 def check_table(perms: DataFrame, n: int, count: int) -> None:

@@ -1,4 +1,4 @@
-"""Two ways to run the permutation test; both give the same numbers.
+"""Three ways to run the permutation test; all give the same numbers.
 
 `relational` expresses everything as joins and aggregations. It generates
 n_rand * cells products, so it is for small inputs and for inspection.
@@ -7,6 +7,10 @@ n_rand * cells products, so it is for small inputs and for inspection.
 after a check of their size, and multiplies blocks of samples in Arrow tasks:
 a sample is one row (its values by row_idx), so nothing but the rows of
 responses is shuffled, and each task holds one block of samples at a time.
+
+`tiled` is for projections and tables beyond that size: both stay tables, cut
+into tiles of rows, which stream past the blocks of samples. A task has a block
+of samples and a chunk of permutations and sums its products tile by tile.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemill.functions.permutations import permutation_frame, permutation_table
+from ridgemill.functions.permutations import permutation_frame, permutation_table, permutation_tiles
 from ridgemill.model import RESULT, SE_FLOOR
 from ridgemill.operators.significance import finalise, permutation_stats, permuted_product
 from ridgemill.operators.solve import factor, fill_cells, product, projection, row_sums
@@ -27,6 +31,9 @@ from ridgemill.plans.memory import require_memory
 BROADCAST_BYTES = 1 << 30
 #: Samples multiplied at a time: n * BLOCK * 8 bytes.
 BLOCK = 256
+#: Of `tiled`: most rows in a tile, cells of its projection, and cells of a block
+#: of samples and of the sums of a chunk of permutations.
+TILE_ROWS, TILE_CELLS, TASK_CELLS = 1024, 1 << 20, 1 << 23
 
 
 def relational(x: DataFrame, y: DataFrame, lam: float, n_rand: int, perms: DataFrame, samples: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -100,4 +107,138 @@ def blocked(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int,
     return rows.select("sample", "idx", "val", "center", "scale").mapInArrow(run, RESULT)
 
 
-__all__ = ["blocked", "permutation_frame", "relational", "vectors"]
+def fits(n: int, p: int, n_rand: int) -> bool:
+    """Whether `blocked` may broadcast its projection and permutations."""
+    return 8 * p * n + 4 * n * n_rand <= BROADCAST_BYTES
+
+
+def _projected(x: DataFrame, features: list[str], inverse: np.ndarray, rows: int, n: int) -> DataFrame:
+    """(tile, feature, val): the projection's values of a feature over a tile of rows."""
+    spark, p = x.sparkSession, len(features)
+    names = spark.createDataFrame(list(enumerate(features)), "f int, feature string")
+    weights = spark.sparkContext.broadcast(inverse)
+    cells = x.join(F.broadcast(names), "feature").select(F.floor(F.col("row_idx") / rows).cast("int").alias("tile"), F.col("row_idx").cast("int").alias("row_idx"), "f", F.col("value").cast("double").alias("value"))
+
+    def run(batches):
+        tile, design = None, None
+
+        def out():
+            t = weights.value @ design.T
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(p + 1, dtype=np.int32) * t.shape[1]), pa.array(t.ravel()))
+            return pa.RecordBatch.from_arrays([pa.array([tile] * p, pa.int32()), pa.array(range(p), pa.int32()), lists], names=["tile", "feature", "val"])
+
+        for batch in batches:
+            tiles, row, f = (batch.column(c).to_numpy() for c in ("tile", "row_idx", "f"))
+            value = batch.column("value").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(tiles)) + 1).tolist(), len(tiles)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if tiles[lo] != tile:
+                    if tile is not None:
+                        yield out()
+                    tile = int(tiles[lo])
+                    design = np.zeros((min(rows, n - tile * rows), p))
+                np.add.at(design, (row[lo:hi] - tile * rows, f[lo:hi]), value[lo:hi])
+        if tile is not None:
+            yield out()
+
+    return cells.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "tile int, feature int, val array<double>")
+
+
+def tiled(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, seed: int, method: str, stats: DataFrame | None = None) -> DataFrame:
+    """As `blocked`, at sizes where neither the projection nor the permutation
+    table may be held whole."""
+    from ridgemill.llm.shared import keep
+
+    spark = x.sparkSession
+    features, inverse = factor(x, lam)
+    p, m = len(features), y_vectors.count()
+    rows = max(1, min(TILE_ROWS, TILE_CELLS // p))
+    block = max(1, min(BLOCK, TASK_CELLS // n))
+    groups = max(1, -(-m // block))
+    chunk = max(1, min(n_rand, TASK_CELLS // (p * block)))
+    chunks = -(-n_rand // chunk)
+    t = keep(_projected(x, features, inverse, rows, n))
+    perms = keep(permutation_tiles(spark, n, n_rand, seed, method, rows))
+
+    listed = y_vectors.join(stats.select("sample", "center", "scale"), "sample", "left") if stats is not None else y_vectors.withColumns({"center": F.lit(None).cast("double"), "scale": F.lit(None).cast("double")})
+    each_group, each_chunk = (F.explode(F.sequence(F.lit(0), F.lit(k - 1))) for k in (groups, chunks))
+    none = lambda kind: F.lit(None).cast(kind)
+    group = F.pmod(F.xxhash64("sample"), F.lit(groups)).cast("int").alias("grp")
+    first = listed.select(group, each_chunk.alias("chunk"), F.lit(-1).alias("tile"), F.lit(0).alias("kind"), F.lit(0).alias("num"), "sample", "center", "scale", "idx", "val")
+    blank = [none("string").alias("sample"), none("double").alias("center"), none("double").alias("scale")]
+    second = t.select(each_group.alias("grp"), "tile", "feature", "val").select("grp", each_chunk.alias("chunk"), "tile", F.lit(1).alias("kind"), F.col("feature").alias("num"), *blank, none("array<int>").alias("idx"), "val")
+    third = perms.select(each_group.alias("grp"), F.floor(F.col("perm_id") / chunk).cast("int").alias("chunk"), "tile", F.lit(2).alias("kind"), F.col("perm_id").alias("num"), *blank, F.col("src").alias("idx"), none("array<double>").alias("val"))
+
+    def run(batches):
+        key, names, vectors_, y, weights, held, at = None, [], [], None, None, {}, None
+
+        def begin():
+            nonlocal y, observed, moved, sums
+            y = np.zeros((n, len(names)))
+            for s, (i, v) in enumerate(vectors_):
+                y[i, s] = v
+            vectors_.clear()
+            last = min(n_rand, (key[1] + 1) * chunk)
+            moved, observed, sums = np.zeros((last - key[1] * chunk, p, len(names))), np.zeros((p, len(names))), np.zeros((p, 1))
+
+        def out():
+            center = np.nan_to_num(np.array([c for _, c, _ in names], dtype=float))
+            scale = np.array([s for _, _, s in names], dtype=float)
+            scale = np.where(scale > 0, scale, 1.0)
+            beta = (observed - sums * center) / scale
+            far = np.abs(beta)
+            s1, s2, hits = np.zeros_like(beta), np.zeros_like(beta), np.zeros(beta.shape, dtype=np.int64)
+            for b in moved:
+                b = (b - sums * center) / scale
+                s1 += b
+                s2 += b * b
+                hits += np.abs(b) >= far
+            who = [np.repeat(np.array(features, dtype=object), len(names)), np.tile(np.array([k for k, _, _ in names], dtype=object), p)]
+            return pa.RecordBatch.from_arrays([*(pa.array(w, pa.string()) for w in who), *(pa.array(c.ravel()) for c in (beta, s1, s2, hits))], names=["feature", "sample", "beta", "s1", "s2", "hits"])
+
+        observed = moved = sums = None
+        for batch in batches:
+            grp, part, tile, kind, num = (batch.column(c).to_numpy() for c in ("grp", "chunk", "tile", "kind", "num"))
+            sample, center, scale = (batch.column(c) for c in ("sample", "center", "scale"))
+            idx, val = batch.column("idx"), batch.column("val")
+            io, vo = idx.offsets.to_numpy(), val.offsets.to_numpy()
+            iv, vv = idx.values.to_numpy(zero_copy_only=False), val.values.to_numpy(zero_copy_only=False)
+            for r in range(batch.num_rows):
+                if (now := (int(grp[r]), int(part[r]))) != key:
+                    if names:
+                        if y is None:
+                            begin()
+                        yield out()
+                    key, names, y, held, at, weights = now, [], None, {}, None, None
+                if kind[r] == 0:
+                    names.append((sample[r].as_py(), center[r].as_py(), scale[r].as_py()))
+                    vectors_.append((iv[io[r] : io[r + 1]].copy(), vv[vo[r] : vo[r + 1]].copy()))
+                    continue
+                if not names:
+                    continue
+                if y is None:
+                    begin()
+                if tile[r] != at:
+                    at, held, weights = tile[r], {}, None
+                if kind[r] == 1:
+                    held[int(num[r])] = vv[vo[r] : vo[r + 1]].copy()
+                    if len(held) == p:
+                        weights = np.array([held[f] for f in range(p)])
+                        observed += weights @ y[at * rows : at * rows + weights.shape[1]]
+                        sums += weights.sum(axis=1)[:, None]
+                elif weights is not None:  # a tile without cells of x adds nothing
+                    moved[num[r] - key[1] * chunk] += weights @ y[iv[io[r] : io[r + 1]]]
+        if names:
+            if y is None:
+                begin()
+            yield out()
+
+    parts = first.unionByName(second).unionByName(third).repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "tile", "kind")
+    sums_ = parts.mapInArrow(run, "feature string, sample string, beta double, s1 double, s2 double, hits long")
+    whole = sums_.groupBy("feature", "sample").agg(F.max("beta").alias("beta"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("hits").alias("hits"))
+    return finalise(whole, n_rand)
+
+
+__all__ = ["blocked", "fits", "permutation_frame", "relational", "tiled", "vectors"]
