@@ -13,7 +13,7 @@ its transpose is never formed whole:
 * Columns with up to BUCKET rows give their pairs; overlap counts accumulate per
   pair, and pairs below the bound are discarded before rows are fetched.
 * Columns with more rows give no pairs. Their rows form groups, the groups are
-  cut into blocks of bounded size by row size and hash, and block pairs whose
+  cut into blocks of bounded rows and shingles by row size and hash, and block pairs whose
   sizes are compatible are multiplied in tasks (`_product`), which return a
   spanning forest of their links, not the links.
 
@@ -44,6 +44,8 @@ FREQUENT = BUCKET
 MOST_FREQUENT = 1_000_000
 #: Shingles in a block of rows.
 BLOCK = 400_000
+#: Rows in a block: a pair of blocks has a matrix of (2 * ROWS)**2 overlaps.
+ROWS = 2_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -203,7 +205,11 @@ def _product(percent: int):
             for k, c in enumerate(part):
                 dense[rows[begin[c] : begin[c] + df[c]], k] = 1
             overlap += dense @ dense.T
-        links = 100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)
+        links = np.empty(overlap.shape, bool)
+        for lo in range(0, len(ids), 256):  # whole float64 intermediates would be twice the overlaps each
+            part = overlap[lo : lo + 256]
+            links[lo : lo + 256] = 100 * part >= percent * (n[lo : lo + 256, None] + n[None, :] - part)
+        del overlap
         free = np.ones(len(ids), bool)
         a, b = [], []
         for seed in range(len(ids)):
@@ -238,6 +244,11 @@ def _overlaps(percent: int):
     return run
 
 
+def _cuts(members: DataFrame) -> DataFrame:
+    """(component, step, cuts): blocks for the rows of a step, by shingles and by rows."""
+    return members.groupBy("component", "step").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / ROWS)).cast("int").alias("cuts"))
+
+
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text).
 
@@ -291,7 +302,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
     links = both.select("a", "b", "ta", "tb").mapInArrow(_overlaps(percent), "a long, b long")
 
-    cuts = members.groupBy("component", "step").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cuts"))
+    cuts = _cuts(members)
     beyond = cuts.select("component", (F.col("step") - 1).alias("step"), F.col("cuts").alias("beyond"))
     mine = members.join(cuts, ["component", "step"]).withColumn("cut", F.pmod(F.xxhash64("doc_id"), "cuts").cast("int"))
     mine = mine.join(beyond, ["component", "step"], "left").join(cuts.select("component", (F.col("step") + 1).alias("step"), F.col("cuts").alias("before")), ["component", "step"], "left")
