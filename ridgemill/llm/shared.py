@@ -1,48 +1,7 @@
-"""Tables written to the folder that driver and executors share."""
+"""Tables written to the folder that driver and executors share (see `ridgemill.tables`)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ridgemill.tables import discard, keep, qualified, shared_folder, unused
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; in a session without that
-    setting (a local one, as in tests) under a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ridgemill/{uuid.uuid4().hex}"
-
-
-#: Spark's setting that removes a job's shuffle files when it ends.
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read from there.
-
-    This cuts the lineage: a lost executor costs its tasks, not the work that
-    led here, whose shuffle files go when the table is written. The table lives
-    until `discard`, or as long as the shared folder does.
-    """
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept.kept_path = path
-    return kept
-
-
-def discard(kept: DataFrame) -> None:
-    """Delete a table made by `keep` that nothing will read again."""
-    spark = kept.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.kept_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "keep", "qualified", "shared_folder", "unused"]

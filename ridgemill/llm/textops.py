@@ -33,7 +33,8 @@ NO_LETTERS[65:91] = NO_LETTERS[97:123] = False
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, dtype=np.uint64)
+BACK = np.uint64(pow(int(STEP), -1, 2**64))
+_powers = {STEP: np.ones(1, dtype=np.uint64), BACK: np.ones(1, dtype=np.uint64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,14 +46,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int) -> np.ndarray:
-    """The first `n` powers of STEP modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 64), STEP, dtype=np.uint64)
+def powers(n: int, base: np.uint64 = STEP) -> np.ndarray:
+    """The first `n` powers of STEP (or of BACK, its inverse) modulo 2**64."""
+    if len(_powers[base]) < n:
+        steps = np.full(max(n, 64), base, dtype=np.uint64)
         steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers[:n]
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base][:n]
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run ``values[starts[i]:ends[i]]``."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers(len(values) + 1)[1:], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(len(values) + 1, BACK)[starts] + (ends - starts).astype(np.uint64))
 
 
 @dataclass

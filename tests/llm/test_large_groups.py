@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 from test_llm import DOCS, brute_join
 
-from ridgemill.llm import ngram_join
+from ridgemill.llm import ngram_join, substring_dedup
 
 
 def test_blocks_bound_rows(spark):
@@ -35,3 +35,26 @@ def test_many_short_variants_at_default_blocks(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.lit(f"w{i}") for i in range(40)], F.concat(F.lit("x"), "id"), *[F.lit(f"v{i}") for i in range(3)]).alias("text"))
     got = ngram_join.ngram_join(docs).groupBy("n_shingles", "component_id").count().collect()
     assert [tuple(r) for r in got] == [(40, 0, 20_000)]
+
+
+def test_one_passage_in_many_documents(spark, table, monkeypatch):
+    """1,000 documents on one passage, each with its own surroundings and some with a changed word."""
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 2_000)
+    passage = [f"p{i}" for i in range(75)]
+    rows = []
+    for d in range(1_000):
+        own = [f"d{d}w{i}" for i in range(20)]
+        shared = list(passage)
+        if d % 10 == 3:
+            shared[d % 75] = "changed"
+        rows.append((d, " ".join(own[:10] + shared + own[10:])))
+    first, want = {}, {}
+    for d, text in rows:
+        w = text.split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), d) < d:
+                gone[i : i + 50] = [True] * 50
+        want[d] = sum(gone)
+    got = substring_dedup.dedup_passages(table(rows, "doc_id long, text string").repartition(7), 50)
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == want

@@ -302,10 +302,11 @@ def test_suffix_automaton(added, query):
     assert len(machine.depth) <= 2 * sum(map(len, added)) + 1
 
 
-@pytest.mark.parametrize(("length", "shard"), [(50, 200), (4, 200), (13, 200), (13, 2), (50, 3)])
+@pytest.mark.parametrize(("length", "shard"), [(50, 50_000), (4, 50_000), (13, 50_000), (13, 0), (50, 0), (50, 300), (4, 0)])
 def test_substring_dedup(table, monkeypatch, length, shard):
-    monkeypatch.setattr(substring_dedup, "SHARD", shard)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     rows = [*corpus(7), *[r for r in ODD if r[0] is not None], (906, "same id " * 60), (907, "same id " * 60)]
+    rows += [(910 + i, f"{'a b c ' * (20 + i)}{'x' * i} " + "a b c " * 9) for i in range(6)]
     first, texts = {}, {}
     for d, text in rows:
         w = SPACE.findall(text or "")
@@ -322,8 +323,9 @@ def test_substring_dedup(table, monkeypatch, length, shard):
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want[d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
         texts[d, text] = kept if any(gone) else text
-    df = table([(*r, 0) for r in rows], DOCS + ", n_words int").repartition(5)
+    df = table([(*r, 0, "l", 3) for r in rows], DOCS + ", n_words int, lost string, at int").repartition(5)
     got = substring_dedup.dedup_passages(df, length, with_text=True).collect()
+    assert {(r["lost"], r["at"]) for r in got} == {("l", 3)}
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == want
     assert Counter((r["doc_id"], r["kept"]) for r in got) == Counter((d, texts[d, t]) for d, t in rows)
     assert substring_dedup.dedup_passages(table([], DOCS)).count() == 0
