@@ -11,10 +11,11 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemill.functions.permutations import permutation_frame
+from ridgemill.functions.permutations import check_table, permutation_frame
 from ridgemill.model import RidgeError, RidgeRun, Status
 from ridgemill.operators import align, scale
-from ridgemill.plans.engines import blocked, fits, relational, tiled, vectors
+from ridgemill.plans.engines import BLOCK, blocked, fits, relational, tiled, vectors
+from ridgemill.tables import keep
 
 #: Products (permutations x rows x features x samples) from which blocks are used.
 BLOCKED_FROM = 50_000_000
@@ -32,7 +33,7 @@ def _check(x: DataFrame, y: DataFrame, lam: float, n_rand: int) -> None:
 
 def ridge(
     x: DataFrame, y: DataFrame, lam: float = 5e5, n_rand: int = 1000, seed: int = 0, rng_method: str = "mt19937", engine: str | None = None,
-    samples: DataFrame | None = None, n_rows: int | None = None, stats: DataFrame | None = None,
+    samples: DataFrame | None = None, n_rows: int | None = None, stats: DataFrame | None = None, perms: DataFrame | None = None, block_size: int = BLOCK,
 ) -> DataFrame:
     """(feature, sample, beta, se, zscore, pvalue): ridge coefficients of every
     response column and their two-sided row-permutation test.
@@ -42,20 +43,30 @@ def ridge(
     `n_rows` is the number of rows where neither table shows the last one.
     `stats` (sample, center, scale) gives the test of centred, scaled columns.
     `engine` is ``relational``, ``blocked`` (``tiled`` where its broadcast would
-    be too large) or ``tiled``; None chooses by size. No
-    intercept is fitted. Values that are missing count as 0; NaN in a column
-    gives z = 0 and the smallest p for it. No samples give no rows.
+    be too large) or ``tiled``; None chooses by size, and all give the same
+    numbers. `perms` (perm_id, row_idx, src_idx) is a permutation table of the
+    caller, which is checked, in place of the generated one; `block_size` is the
+    number of samples that a task of the last two multiplies at a time. No
+    intercept is fitted. Null and missing values count as 0, cells that repeat
+    add up, and NaN in a column gives z = 0 and the smallest p for it. No
+    samples give no rows.
     """
     _check(x, y, lam, n_rand)
+    if block_size < 1:
+        raise ValueError("block_size must be at least 1")
     spark = x.sparkSession
+    x = keep(x.select("row_idx", "feature", "value"))  # read several times
     if n_rows is None:
         n_rows = (x.select("row_idx").union(y.select("row_idx")).agg(F.max("row_idx")).first()[0] or 0) + 1
+    if perms is not None:
+        perms = keep(perms.select("perm_id", "row_idx", "src_idx"))
+        check_table(perms, n_rows, n_rand)
     if engine is None:
         p, m = x.agg(F.count_distinct("feature")).first()[0], (samples or y).agg(F.approx_count_distinct("sample")).first()[0]
         engine = "blocked" if n_rand * n_rows * p * m > BLOCKED_FROM else "relational"
     listed = samples.select("sample").distinct() if samples is not None else y.select("sample").distinct()
     if engine == "relational":
-        perms = permutation_frame(spark, n_rows, n_rand, seed, rng_method)
+        perms = permutation_frame(spark, n_rows, n_rand, seed, rng_method) if perms is None else perms
         return relational(x, y, lam, n_rand, perms, listed, stats)
     if engine not in ("blocked", "tiled"):
         raise ValueError("engine must be relational, blocked or tiled")
@@ -63,21 +74,33 @@ def ridge(
     rows = vectors(y)
     if samples is not None:
         rows = listed.join(rows, "sample", "left").select("sample", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("val", F.array().cast("array<double>")).alias("val"))
-    return run(x, rows, lam, n_rand, n_rows, seed, rng_method, stats)
+    return run(x, rows, lam, n_rand, n_rows, seed, rng_method, stats, perms, block_size)
 
 
-def ridge_lowlevel(x: DataFrame, y: DataFrame, lam: float = 1.0, n_rand: int = 1000, sparse: bool = False, **options) -> RidgeRun:
+def ridge_lowlevel(x: DataFrame, y: DataFrame, lam: float = 1.0, n_rand: int = 1000, sparse: bool = False, batch_size: int = 0, **options) -> RidgeRun:
     """`ridge` that reports a status instead of raising it: the run's result is
     None unless its status is OK, and a warning tells why. A sparse y without
-    any value has bad dimensions, a dense one is legal."""
-    n = (x.agg(F.max("row_idx")).first()[0] if x is not None else None) or -1
+    any value has bad dimensions, a dense one is legal.
+
+    `batch_size` is the number of samples that a task multiplies at a time; 0,
+    or with a warning more than there are samples, leaves it to the engine,
+    which takes as many as a task's memory allows."""
+    top = x.agg(F.max("row_idx")).first()[0] if x is not None else None
     p = x.agg(F.count_distinct("feature")).first()[0] if x is not None else 0
-    run = RidgeRun(None, Status.OK, n + 1, p, lam, n_rand, sparse)
+    run = RidgeRun(None, Status.OK, 0 if top is None else top + 1, p, lam, n_rand, sparse)
     try:
         if x is None or y is None:
             raise RidgeError(Status.NULL_INPUT)
         if sparse and y.isEmpty():
             raise RidgeError(Status.BAD_DIMENSIONS)
+        if batch_size > 0:
+            samples = options.get("samples")
+            m = (y if samples is None else samples).agg(F.count_distinct("sample")).first()[0]
+            if batch_size > m:
+                run.warnings.append(f"batch_size {batch_size} is larger than the number of samples, {m}")
+                warnings.warn(run.warnings[-1], stacklevel=2)
+            else:
+                options["block_size"] = batch_size
         run.result = ridge(x, y, lam, n_rand, **options)
     except RidgeError as error:
         run.status = error.status
@@ -95,8 +118,11 @@ def infer(
     (by expression's `order` column, else by key), optionally scaled per column
     (``scale_method="column"``) and given a background feature, and tested.
 
-    With a sparse expression table give `n_samples` for the background's mean.
-    Raises ValueError without a common key.
+    Cells that a table leaves out are zeros, for scaling too: its means and
+    spreads are over all common keys, and its scaled zeros are not stored but
+    corrected for after the product. Null and NaN cells of a scaled table do not
+    count and have the mean. With a sparse expression table give `n_samples` for
+    the mean of an unscaled background. Raises ValueError without a common key.
     """
     if scale_method not in (None, "column"):
         raise ValueError("scale_method must be None or 'column'")
@@ -108,8 +134,12 @@ def infer(
     if add_background and background_position == "before_scale":
         x = align.with_background(x, y, n_samples)
     if scale_method == "column":
-        y = scale.zscore_pipeline(y)
-        x = scale.zscore_pipeline(x, "feature")
-    if add_background and background_position == "after_scale":
+        keys = keep(keys)
+        x = scale.zscore_pipeline(align.densify(x, keys, x, "feature"), "feature")
+        y, stats = scale.centred_parts(y, keys.count())
+        y, options["stats"] = keep(y), keep(stats)
+        if add_background and background_position == "after_scale":
+            x = align.with_background(x, scale.scaled_row_means(y, options["stats"], keys), 1)
+    elif add_background and background_position == "after_scale":
         x = align.with_background(x, y, n_samples)
     return ridge(x, y, lam, n_rand, **options)

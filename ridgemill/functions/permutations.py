@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgemill.session import ship
@@ -159,3 +159,20 @@ def check_table(perms: DataFrame, n: int, count: int) -> None:
     bad = seen.agg(F.count("*").alias("perms"), F.count_if((F.col("rows") != n) | (F.col("r") != n) | (F.col("s") != n) | (F.col("top") != n - 1)).alias("bad")).first()
     if bad["perms"] != count or bad["bad"]:
         raise ValueError(f"the table must hold {count} permutations of {n} rows")
+
+
+def table_array(perms: DataFrame, n: int, count: int) -> np.ndarray:
+    """A caller's table, checked by `check_table`, as count x n source rows. The
+    caller of this has made sure that 4 * n * count bytes may be on the driver."""
+    table = np.empty((count, n), dtype=np.int32)
+    places = {r["perm_id"]: i for i, r in enumerate(perms.select("perm_id").distinct().orderBy("perm_id").collect())}  # `count` numbers
+    for r in perms.groupBy("perm_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "src_idx"))).alias("c")).select("perm_id", "c.src_idx").toLocalIterator():
+        table[places[r["perm_id"]]] = r["src_idx"]
+    return table
+
+
+def table_tiles(perms: DataFrame, rows: int) -> DataFrame:
+    """A caller's table as (perm_id, tile, src), perm_id from 0."""
+    numbered = perms.select("perm_id").distinct().select("perm_id", (F.row_number().over(Window.orderBy("perm_id")) - 1).alias("k"))  # as many rows as permutations
+    tiles = perms.groupBy("perm_id", F.floor(F.col("row_idx") / rows).cast("int").alias("tile")).agg(F.array_sort(F.collect_list(F.struct("row_idx", "src_idx"))).alias("c"))
+    return tiles.join(numbered, "perm_id").select(F.col("k").cast("int").alias("perm_id"), "tile", F.col("c.src_idx").cast("array<int>").alias("src"))

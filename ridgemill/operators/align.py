@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgemill.tables import keep
+
 
 def is_finite(value: Column | str) -> Column:
     v = F.col(value) if isinstance(value, str) else value
@@ -13,10 +15,18 @@ def is_finite(value: Column | str) -> Column:
 
 def common_keys(y: DataFrame, x: DataFrame, key: str = "row_key", order: str | None = None) -> DataFrame:
     """(row_key, row_idx): keys of both tables in the order of y's `order` column
-    (its first place per key), else sorted. Null keys match nothing."""
+    (its first place per key), else sorted. Null keys match nothing.
+
+    Keys are dealt out in ranges and numbered within each; a range begins where
+    those before it end, so no task sees all keys."""
     rank = F.min(order).alias("__order") if order else F.first(key).alias("__order")
     keys = y.where(F.col(key).isNotNull()).groupBy(key).agg(rank).join(x.select(key).distinct(), key, "left_semi")
-    return keys.select(F.col(key), (F.row_number().over(Window.orderBy("__order", key)) - 1).alias("row_idx"))
+    parts = keys.repartitionByRange("__order", key).select(key, "__order", F.spark_partition_id().alias("__part"))
+    parts = keep(parts)
+    before = parts.groupBy("__part").count()  # one row per range
+    before = before.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("__order", key))
+    return parts.join(F.broadcast(before), "__part").select(F.col(key), (F.col("__before") + place - 1).cast("int").alias("row_idx"))
 
 
 def require_common(keys: DataFrame) -> DataFrame:
@@ -86,7 +96,7 @@ def sparsify(y: DataFrame) -> DataFrame:
     return y.where((F.col("value") != 0) | F.isnan("value"))
 
 
-def densify(y: DataFrame, rows: DataFrame, samples: DataFrame) -> DataFrame:
-    """Every (row_idx, sample) of the two lists, 0 where y has no value."""
-    grid = rows.select("row_idx").distinct().crossJoin(samples.select("sample").distinct())
-    return grid.join(y.select("row_idx", "sample", "value"), ["row_idx", "sample"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+def densify(y: DataFrame, rows: DataFrame, samples: DataFrame, column: str = "sample") -> DataFrame:
+    """Every (row_idx, `column`) of the two lists, 0 where y has no value."""
+    grid = rows.select("row_idx").distinct().crossJoin(samples.select(column).distinct())
+    return grid.join(y.select("row_idx", column, "value"), ["row_idx", column], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))

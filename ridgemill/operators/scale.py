@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgemill.model import SD_FLOOR
-from ridgemill.operators.align import zero_non_finite
+from ridgemill.operators.align import is_finite, zero_non_finite
 
 
 def _population(y: DataFrame, column: str) -> DataFrame:
@@ -62,6 +62,35 @@ def zscore_pipeline(y: DataFrame, column: str = "sample") -> DataFrame:
     return zero_non_finite(scaled)
 
 
+def centred_parts(y: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """A table that leaves zeros out as (cells, stats): ``(value - center) / scale``
+    of all `n_rows` rows is what `zscore_pipeline` makes of the dense table.
+
+    Null and NaN cells do not count and become the mean; of a column without
+    spread nothing is left but zeros, with center 0.
+    """
+    known = F.nanvl("value", F.lit(None).cast("double"))
+    sums = y.groupBy("sample").agg(F.count("*").alias("stored"), F.count(known).alias("k"), F.avg(known).alias("m"), F.var_pop(known).alias("v"))
+    zeros = F.greatest(F.lit(n_rows) - F.col("stored"), F.lit(0))
+    n = F.col("k") + zeros
+    center = F.col("k") * F.col("m") / n
+    spread = F.sqrt(F.try_divide(F.col("k") * F.col("v") + F.col("m") * F.col("m") * F.col("k") * zeros / n, n - 1))
+    stats = sums.where("k > 0").select("sample", center.alias("center"), spread.alias("scale"))
+    wide = is_finite("center") & is_finite("scale") & (F.col("scale") > 0)
+    stats = sums.select("sample").join(stats, "sample", "left").select("sample", F.when(wide, F.col("center")).otherwise(0.0).alias("center"), F.when(wide, F.col("scale")).alias("scale"))
+    cells = y.join(stats, "sample").withColumn("value", F.when(F.col("scale").isNull(), 0.0).otherwise(F.coalesce(known, "center"))).select(*y.columns)
+    return cells, stats
+
+
+def scaled_row_means(cells: DataFrame, stats: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row_idx, value): row means over all samples of the scaled table whose parts
+    are `cells` and `stats`, for every row of `rows`."""
+    wide = stats.where("scale is not null")
+    shift = stats.agg(F.coalesce(F.sum(F.col("center") / F.col("scale")), F.lit(0.0)).alias("shift"), F.count("*").alias("m"))  # one row
+    sums = cells.join(wide, "sample").groupBy("row_idx").agg(F.sum(F.col("value") / F.col("scale")).alias("s"))
+    return rows.select("row_idx").join(sums, "row_idx", "left").join(F.broadcast(shift)).select("row_idx", ((F.coalesce("s", F.lit(0.0)) - F.col("shift")) / F.col("m")).alias("value"))
+
+
 def column_correction(beta: Column, row_sum: Column, mu: Column | None, sigma: Column | None) -> Column:
     """Coefficients as if the response columns had been centred by mu and divided
     by sigma (not positive: by 1), without densifying them."""

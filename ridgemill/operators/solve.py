@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgemill.model import RidgeError, Status
+from ridgemill.tables import keep
 
 #: Features up to which the p x p factor is made on the driver (8 p**2 bytes).
 MAX_FEATURES = 8192
@@ -43,7 +44,7 @@ def factor(x: DataFrame, lam: float) -> tuple[list[str], np.ndarray]:
     place = {f: i for i, f in enumerate(features)}
     full = np.zeros((len(features), len(features)))
     for r in regularise(gram(x), lam).where("f1 >= f2").toLocalIterator():
-        full[place[r["f1"]], place[r["f2"]]] = full[place[r["f2"]], place[r["f1"]]] = r["value"]
+        full[place[r["f1"]], place[r["f2"]]] = full[place[r["f2"]], place[r["f1"]]] = r["value"] or 0.0
     if not np.isfinite(full).all():
         raise RidgeError(Status.SOLVE_FAILED)
     try:
@@ -59,6 +60,7 @@ def factor(x: DataFrame, lam: float) -> tuple[list[str], np.ndarray]:
 
 def projection(x: DataFrame, lam: float) -> DataFrame:
     """(feature, row_idx, value) of T."""
+    x = keep(x.select("row_idx", "feature", "value"))  # read several times
     features, inverse = factor(x, lam)
     rows = x.sparkSession.createDataFrame([(f, g, float(v)) for f, line in zip(features, inverse, strict=True) for g, v in zip(features, line, strict=True)], "feature string, other string, weight double")
     left = x.select("row_idx", F.col("feature").alias("other"), "value")

@@ -17,15 +17,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemill.functions.permutations import permutation_frame, permutation_table, permutation_tiles
+from ridgemill.functions.permutations import permutation_frame, permutation_table, permutation_tiles, table_array, table_tiles
 from ridgemill.model import RESULT, SE_FLOOR
 from ridgemill.operators.significance import finalise, permutation_stats, permuted_product
 from ridgemill.operators.solve import factor, fill_cells, product, projection, row_sums
 from ridgemill.operators.scale import column_correction
 from ridgemill.plans.memory import require_memory
+from ridgemill.tables import keep
 
 #: Bytes that may be broadcast: projection (8 p n) and permutations (4 n n_rand).
 BROADCAST_BYTES = 1 << 30
@@ -52,37 +54,47 @@ def relational(x: DataFrame, y: DataFrame, lam: float, n_rand: int, perms: DataF
 
 
 def vectors(y: DataFrame) -> DataFrame:
-    """(sample, idx, val): one row per sample, its stored cells by row_idx. A
-    sample has at most one value per row of the matrix, which bounds the row."""
-    cells = F.array_sort(F.collect_list(F.struct(F.col("row_idx").cast("int").alias("i"), F.col("value").alias("v"))))
+    """(sample, idx, val): one row per sample, its stored cells by row_idx, null
+    as 0. A sample has one value per row of the matrix, or few, which bounds the
+    row; the engines add up cells that repeat."""
+    cells = F.array_sort(F.collect_list(F.struct(F.col("row_idx").cast("int").alias("i"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("v"))))
     return y.groupBy("sample").agg(cells.alias("c")).select("sample", F.col("c.i").alias("idx"), F.col("c.v").alias("val"))
 
 
-def blocked(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, seed: int, method: str, stats: DataFrame | None = None) -> DataFrame:
-    """The result table from `vectors` rows; with `stats` as for `relational`."""
+def _filled(val: pa.Array) -> np.ndarray:
+    return pc.fill_null(val.flatten(), 0.0).to_numpy(zero_copy_only=False)
+
+
+def blocked(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, seed: int, method: str, stats: DataFrame | None = None, perms: DataFrame | None = None, block_size: int = BLOCK) -> DataFrame:
+    """The result table from `vectors` rows; with `stats` as for `relational`.
+    `perms` is a caller's permutation table, `block_size` the samples multiplied at a time."""
     spark = x.sparkSession
     features, inverse = factor(x, lam)
     p = len(features)
     require_memory(8 * p * n + 4 * n * n_rand, BROADCAST_BYTES)
     place = {f: i for i, f in enumerate(features)}
     design = np.zeros((n, p))
-    for r in x.select("row_idx", "feature", "value").toLocalIterator():
+    for r in x.select("row_idx", "feature", "value").where("value is not null").toLocalIterator():
         design[r["row_idx"], place[r["feature"]]] += r["value"]
     t = spark.sparkContext.broadcast(inverse @ design.T)
-    perms = spark.sparkContext.broadcast(permutation_table(n, n_rand, seed, method))
+    # moving the rows of y by a permutation is moving the columns of the projection by its inverse
+    table = permutation_table(n, n_rand, seed, method) if perms is None else table_array(perms, n, n_rand)
+    moves = np.empty_like(table)
+    np.put_along_axis(moves, table, np.arange(n, dtype=table.dtype)[None], axis=1)
+    moves = spark.sparkContext.broadcast(moves)
     rows = y_vectors.join(stats.select("sample", "center", "scale"), "sample", "left") if stats is not None else y_vectors.withColumns({"center": F.lit(None).cast("double"), "scale": F.lit(None).cast("double")})
 
     def run(batches):
-        weights, table = t.value, perms.value
+        weights, orders = t.value, moves.value
         names = np.array(features, dtype=object)
         sums = weights.sum(axis=1)[:, None]
         for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(lo, BLOCK)
+            for lo in range(0, batch.num_rows, block_size):
+                part = batch.slice(lo, block_size)
                 idx, val = part.column("idx"), part.column("val")
                 counts = np.diff(idx.offsets.to_numpy())
                 block = np.zeros((n, part.num_rows))
-                block[idx.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), counts)] = val.flatten().to_numpy(zero_copy_only=False)
+                np.add.at(block, (idx.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), counts)), _filled(val))
                 center = np.nan_to_num(part.column("center").to_numpy(zero_copy_only=False).astype(float))
                 scale = part.column("scale").to_numpy(zero_copy_only=False).astype(float)
                 scale = np.where(scale > 0, scale, 1.0)
@@ -90,8 +102,8 @@ def blocked(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int,
                 beta = fit(weights @ block)
                 far = np.abs(beta)
                 s1, s2, hits = np.zeros_like(beta), np.zeros_like(beta), np.zeros(beta.shape, dtype=np.int64)
-                for order in table:
-                    b = fit(weights @ block[order])
+                for order in orders:
+                    b = fit(weights[:, order] @ block)
                     s1 += b
                     s2 += b * b
                     hits += np.abs(b) >= far
@@ -117,7 +129,7 @@ def _projected(x: DataFrame, features: list[str], inverse: np.ndarray, rows: int
     spark, p = x.sparkSession, len(features)
     names = spark.createDataFrame(list(enumerate(features)), "f int, feature string")
     weights = spark.sparkContext.broadcast(inverse)
-    cells = x.join(F.broadcast(names), "feature").select(F.floor(F.col("row_idx") / rows).cast("int").alias("tile"), F.col("row_idx").cast("int").alias("row_idx"), "f", F.col("value").cast("double").alias("value"))
+    cells = x.where("value is not null").join(F.broadcast(names), "feature").select(F.floor(F.col("row_idx") / rows).cast("int").alias("tile"), F.col("row_idx").cast("int").alias("row_idx"), "f", F.col("value").cast("double").alias("value"))
 
     def run(batches):
         tile, design = None, None
@@ -146,21 +158,19 @@ def _projected(x: DataFrame, features: list[str], inverse: np.ndarray, rows: int
     return cells.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "tile int, feature int, val array<double>")
 
 
-def tiled(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, seed: int, method: str, stats: DataFrame | None = None) -> DataFrame:
+def tiled(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, seed: int, method: str, stats: DataFrame | None = None, perms: DataFrame | None = None, block_size: int = BLOCK) -> DataFrame:
     """As `blocked`, at sizes where neither the projection nor the permutation
     table may be held whole."""
-    from ridgemill.llm.shared import keep
-
     spark = x.sparkSession
     features, inverse = factor(x, lam)
     p, m = len(features), y_vectors.count()
     rows = max(1, min(TILE_ROWS, TILE_CELLS // p))
-    block = max(1, min(BLOCK, TASK_CELLS // n))
+    block = max(1, min(block_size, TASK_CELLS // n))
     groups = max(1, -(-m // block))
     chunk = max(1, min(n_rand, TASK_CELLS // (p * block)))
     chunks = -(-n_rand // chunk)
     t = keep(_projected(x, features, inverse, rows, n))
-    perms = keep(permutation_tiles(spark, n, n_rand, seed, method, rows))
+    perms = keep(permutation_tiles(spark, n, n_rand, seed, method, rows) if perms is None else table_tiles(perms, rows))
 
     listed = y_vectors.join(stats.select("sample", "center", "scale"), "sample", "left") if stats is not None else y_vectors.withColumns({"center": F.lit(None).cast("double"), "scale": F.lit(None).cast("double")})
     each_group, each_chunk = (F.explode(F.sequence(F.lit(0), F.lit(k - 1))) for k in (groups, chunks))
@@ -178,7 +188,7 @@ def tiled(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, s
             nonlocal y, observed, moved, sums
             y = np.zeros((n, len(names)))
             for s, (i, v) in enumerate(vectors_):
-                y[i, s] = v
+                np.add.at(y, (i, s), np.asarray(v))
             vectors_.clear()
             last = min(n_rand, (key[1] + 1) * chunk)
             moved, observed, sums = np.zeros((last - key[1] * chunk, p, len(names))), np.zeros((p, len(names))), np.zeros((p, 1))
@@ -204,7 +214,7 @@ def tiled(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, s
             sample, center, scale = (batch.column(c) for c in ("sample", "center", "scale"))
             idx, val = batch.column("idx"), batch.column("val")
             io, vo = idx.offsets.to_numpy(), val.offsets.to_numpy()
-            iv, vv = idx.values.to_numpy(zero_copy_only=False), val.values.to_numpy(zero_copy_only=False)
+            iv, vv = idx.values.to_numpy(zero_copy_only=False), pc.fill_null(val.values, 0.0).to_numpy(zero_copy_only=False)
             for r in range(batch.num_rows):
                 if (now := (int(grp[r]), int(part[r]))) != key:
                     if names:

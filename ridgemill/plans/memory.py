@@ -63,6 +63,21 @@ def candidates(shapes: DataFrame, shares: tuple[int, ...] = (1, 2, 4, 8, 16), si
     return each.withColumn("ok", need <= budget * F.col("free_bytes")).groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("ok"), F.col("try"))), F.lit(1).cast("long")).alias("batch_size"))
 
 
+#: Shares of all samples, sizes and share of free memory of the search for large runs.
+LARGE_SHARES, LARGE_SIZES, LARGE_BUDGET = (1, 2, 4, 8), (50, 25, 10, 5), 0.7
+
+
+def large_candidates(shapes: DataFrame) -> DataFrame:
+    """`shapes` with free_bytes -> the first candidate batch, in the order of
+    LARGE_SHARES (rounded, halves to even) and LARGE_SIZES, that needs less than
+    the budget; 1 where none does."""
+    m = F.col("m").cast("long")
+    tries = F.array(*[F.bround(F.col("m") / s).cast("long") for s in LARGE_SHARES], *[F.lit(s).cast("long") for s in LARGE_SIZES])
+    need = lambda b: required_bytes(*(F.col(c) for c in ("n", "p", "m", "n_rand", "nnz", "sparse")), b)
+    fits = F.filter(tries, lambda b: (b > 0) & (b <= m) & (need(b) < LARGE_BUDGET * F.col("free_bytes")))
+    return shapes.withColumn("batch_size", F.coalesce(F.get(fits, F.lit(0)), F.lit(1).cast("long")))
+
+
 def batch_plan(shapes: DataFrame) -> DataFrame:
     """`shapes` (m, batch) -> (m, batch, batch_id, first, last, width), 0-based and inclusive."""
     b = F.when((F.col("batch") <= 0) | (F.col("batch") > F.col("m")), F.col("m")).otherwise(F.col("batch")).cast("long")

@@ -25,7 +25,26 @@ perms AS MATERIALIZED (
   SELECT (k // {N - 1} - 1)::INT AS perm_id, unnest(range(0, {N}))::INT AS row_idx, unnest(a)::INT AS src_idx FROM steps WHERE k > 0 AND k % {N - 1} = 0)
 """
 
-FIXTURE = """
+def solved(x: str, size: int, t: str = "t") -> str:
+    """`t` (feature, row_idx, value), the projection of the long table `x` with
+    `size` features: its regularised Gram matrix swept on one feature after the
+    other, which leaves minus its inverse."""
+    steps = [
+        f"{t}_f AS MATERIALIZED (SELECT feature, row_number() OVER (ORDER BY feature) AS i FROM (SELECT DISTINCT feature FROM {x}))",
+        f"{t}_x AS MATERIALIZED (SELECT i, row_idx, value FROM {x} JOIN {t}_f USING (feature))",
+        f"{t}_0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.value * b.value) + CASE WHEN a.i = b.i THEN {LAMBDA} ELSE 0 END AS v FROM {t}_x a JOIN {t}_x b USING (row_idx) GROUP BY a.i, b.i)",
+    ]
+    for k in range(1, size + 1):
+        steps.append(f"""{t}_{k} AS MATERIALIZED (
+  SELECT a.i, a.j, CASE WHEN a.i = {k} AND a.j = {k} THEN -1 / d.v WHEN a.i = {k} OR a.j = {k} THEN a.v / d.v ELSE a.v - c.v * r.v / d.v END AS v
+  FROM {t}_{k - 1} a JOIN {t}_{k - 1} c ON c.i = a.i AND c.j = {k} JOIN {t}_{k - 1} r ON r.i = {k} AND r.j = a.j JOIN {t}_{k - 1} d ON d.i = {k} AND d.j = {k})""")
+    steps.append(f"{t} AS MATERIALIZED (SELECT f.feature, x.row_idx, -sum(m.v * x.value) AS value FROM {t}_{size} m JOIN {t}_f f USING (i) JOIN {t}_x x ON x.i = m.j GROUP BY ALL)")
+    return ",\n".join(steps) + ","
+
+
+SOLVE = solved("xs", 5)
+
+FIXTURE = f"""
 x0 AS MATERIALIZED (
   SELECT n.n_nationkey::INT AS row_idx, s.feature, coalesce(a.v, 0.0) AS value
   FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment AS feature FROM customer) s
@@ -34,21 +53,19 @@ y0 AS MATERIALIZED (
   SELECT c.c_nationkey::INT AS row_idx, o.o_orderpriority AS sample, avg(o.o_totalprice) AS value
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY ALL),
 sparse0 AS MATERIALIZED (
-  SELECT user_id AS row_idx, event_type AS sample, sum(value) AS value FROM events WHERE event_type = 'purchase' OR event_id % 7 = 0 GROUP BY ALL),
+  SELECT user_id::INT AS row_idx, event_type || '-' || day(ts) AS sample, sum(value) AS value FROM events GROUP BY ALL),
+months AS MATERIALIZED (
+  SELECT c.c_nationkey::INT AS row_idx, o.o_orderpriority || '-' || year(o.o_orderdate) || '-' || month(o.o_orderdate) AS sample, sum(o.o_totalprice) / 100000 AS value
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY ALL),
 xs AS MATERIALIZED (SELECT row_idx, feature, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS value FROM x0 WINDOW w AS (PARTITION BY feature)),
 ys AS MATERIALIZED (SELECT row_idx, sample, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS value FROM y0 WINDOW w AS (PARTITION BY sample)),
-x2 AS MATERIALIZED (SELECT * FROM xs WHERE feature IN ('AUTOMOBILE', 'BUILDING')),
-wide AS (SELECT row_idx, max(value) FILTER (feature = 'AUTOMOBILE') AS u, max(value) FILTER (feature = 'BUILDING') AS v FROM x2 GROUP BY row_idx),
-g2 AS (SELECT sum(u * u) + 10 AS a, sum(u * v) AS b, sum(v * v) + 10 AS d FROM wide),
-t AS MATERIALIZED (
-  SELECT 'AUTOMOBILE' AS feature, row_idx, (d * u - b * v) / (a * d - b * b) AS value FROM wide, g2
-  UNION ALL SELECT 'BUILDING', row_idx, (a * v - b * u) / (a * d - b * b) FROM wide, g2),
+{SOLVE}
 beta AS MATERIALIZED (SELECT feature, sample, sum(t.value * ys.value) AS value FROM t JOIN ys USING (row_idx) GROUP BY ALL)
 """
 
 TEST = """
 moved AS MATERIALIZED (
-  SELECT perm_id, feature, sample, sum(t.value * {y}.value) AS value FROM perms JOIN {y} ON {y}.row_idx = perms.src_idx JOIN t ON t.row_idx = perms.row_idx GROUP BY ALL),
+  SELECT perm_id, feature, sample, sum(t.value * {y}.value) AS value FROM perms JOIN {y} ON {y}.row_idx = perms.src_idx JOIN {t} t ON t.row_idx = perms.row_idx GROUP BY ALL),
 sums AS (
   SELECT m.feature, m.sample, b.value AS beta, sum(m.value) AS s1, sum(m.value * m.value) AS s2, count(*) FILTER (abs(m.value) >= abs(b.value)) AS hits
   FROM moved m JOIN {beta} b USING (feature, sample) GROUP BY ALL),
@@ -63,9 +80,9 @@ def over(select: str, *ctes: str) -> str:
     return f"WITH RECURSIVE {', '.join([FIXTURE.strip(), *(c.strip() for c in ctes)])}\n{select}"
 
 
-def tested(select: str, y: str = "ys", beta: str = "beta", *ctes: str) -> str:
+def tested(select: str, y: str = "ys", beta: str = "beta", *ctes: str, t: str = "t") -> str:
     """A query over the permutation test's result."""
-    return over(select, TWISTER, *ctes, TEST.format(y=y, beta=beta))
+    return over(select, TWISTER, *ctes, TEST.format(y=y, beta=beta, t=t))
 
 
 def r6(column: str, name: str | None = None) -> str:

@@ -12,32 +12,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgemill.api import ridge
+from ridgemill.tables import keep
 
 #: A reader gives the long table (row_idx, sample, value) of samples first..last, 0-based.
 Reader = Callable[[int, int], DataFrame]
 
 
-def resolve(spark: SparkSession, source: DataFrame | str | Reader, n_samples: int | None = None) -> tuple[DataFrame | Reader, int]:
+def check_rows(part: DataFrame, n_rows: int, what: str) -> int:
+    """The number of samples of `part`; an error where a row is not one of 0..n_rows - 1."""
+    seen = part.agg(F.min("row_idx").alias("low"), F.max("row_idx").alias("high"), F.count_distinct("sample").alias("samples")).first()
+    if seen["low"] is not None and (seen["low"] < 0 or seen["high"] >= n_rows):
+        raise ValueError(f"{what} has rows {seen['low']}..{seen['high']}, expected 0..{n_rows - 1}")
+    return seen["samples"]
+
+
+def resolve(spark: SparkSession, source: DataFrame | str | Reader, n_samples: int | None = None, n_rows: int | None = None) -> tuple[DataFrame | Reader, int]:
     """A table or reader, and its number of samples. Tables, and Parquet paths,
-    have columns (row_idx, sample, sample_ord, value)."""
+    have columns (row_idx, sample, sample_ord, value) and, if `n_rows` is given,
+    no other rows than those."""
     if isinstance(source, str):
         source = spark.read.parquet(source)
     if isinstance(source, DataFrame):
         if missing := {"row_idx", "sample", "sample_ord", "value"} - set(source.columns):
             raise ValueError(f"the source lacks {sorted(missing)}")
+        if n_rows is not None:
+            check_rows(source, n_rows, "the source")
         return source, n_samples or (source.agg(F.max("sample_ord")).first()[0] or 0) + 1
     if n_samples is None:
         raise ValueError("a reader needs n_samples")
     return source, n_samples
 
 
-def read_batch(source: Reader, first: int, last: int) -> DataFrame:
-    """One batch of a reader, checked: its columns, and no more samples than asked for."""
+def read_batch(source: Reader, first: int, last: int, n_rows: int | None = None) -> DataFrame:
+    """One batch of a reader, checked: its columns, as many samples as asked for
+    (one without values has a cell of 0) and, if `n_rows` is given, its rows."""
     part = source(first, last)
     if missing := {"row_idx", "sample", "value"} - set(part.columns):
         raise ValueError(f"the reader's table lacks {sorted(missing)}")
-    if part.agg(F.count_distinct("sample")).first()[0] > last - first + 1:
-        raise ValueError(f"the reader gave more samples than {first}..{last}")
+    samples = check_rows(part, n_rows or 1 << 31, "the reader's table")
+    if samples != last - first + 1:
+        raise ValueError(f"the reader gave {samples} samples for {first}..{last}, expected {last - first + 1}")
     return part
 
 
@@ -51,7 +65,9 @@ def ridge_batch(x: DataFrame, source: DataFrame | str | Reader, lam: float = 5e5
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
-    source, m = resolve(x.sparkSession, source, n_samples)
+    x = keep(x.select("row_idx", "feature", "value"))  # read by every batch
+    n = options.setdefault("n_rows", (x.agg(F.max("row_idx")).first()[0] or 0) + 1)
+    source, m = resolve(x.sparkSession, source, n_samples, n)
     batches = -(-m // batch_size)
     if isinstance(source, DataFrame):
         orders = source.groupBy("sample").agg(F.min("sample_ord").alias("sample_ord"))
@@ -63,7 +79,7 @@ def ridge_batch(x: DataFrame, source: DataFrame | str | Reader, lam: float = 5e5
         done = []
         for b in range(batches):
             first, last = b * batch_size, min(m, (b + 1) * batch_size) - 1
-            part = ridge(x, read_batch(source, first, last), lam, n_rand, **options).withColumn("batch_id", F.lit(b))
+            part = ridge(x, read_batch(source, first, last, n), lam, n_rand, **options).withColumn("batch_id", F.lit(b))
             if output:
                 part.write.mode("append" if b else "overwrite").partitionBy("batch_id").parquet(output)
             else:

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables
 
 
 def test_contract(spark):
-    assert entry_point.entry(spark).count() == 10
+    assert entry_point.entry(spark).count() == 25
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 

@@ -60,7 +60,7 @@ def test_every_row_takes_part(spark):
 
 def test_sparse_ridge_over_all_users(spark):
     x, features = matrix(catalogue.x_users(spark, str(DATA)), "feature")
-    y, samples = matrix(catalogue.y_days(spark, str(DATA)), "sample")
+    y, samples = matrix(catalogue.y_sparse(spark, str(DATA)), "sample")
     want = expected(x, y, features, samples)
     agree(cells(run(spark, "ridge_full_sparse_all")), want)
     agree(values(run(spark, "ridge_beta_sparse_all"), "sample"), {k: v[:1] for k, v in want.items()})
