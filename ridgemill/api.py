@@ -128,15 +128,17 @@ def infer(
         raise ValueError("scale_method must be None or 'column'")
     if background_position not in ("after_scale", "before_scale"):
         raise ValueError("background_position must be after_scale or before_scale")
-    keys = align.require_common(align.common_keys(expression, signature, order=order))
+    keys = align.require_common(keep(align.common_keys(expression, signature, order=order)))
+    n = keys.count()
+    options.setdefault("n_rows", n)
     y = align.subset_rows(expression, keys).select("row_idx", "sample", "value")
     x = align.subset_rows(signature, keys).select("row_idx", "feature", "value")
     if add_background and background_position == "before_scale":
         x = align.with_background(x, y, n_samples)
     if scale_method == "column":
-        keys = keep(keys)
+        x = x.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # a null is no zero
         x = scale.zscore_pipeline(align.densify(x, keys, x, "feature"), "feature")
-        y, stats = scale.centred_parts(y, keys.count())
+        y, stats = scale.centred_parts(y, n)
         y, options["stats"] = keep(y), keep(stats)
         if add_background and background_position == "after_scale":
             x = align.with_background(x, scale.scaled_row_means(y, options["stats"], keys), 1)

@@ -21,8 +21,8 @@ def common_keys(y: DataFrame, x: DataFrame, key: str = "row_key", order: str | N
     those before it end, so no task sees all keys."""
     rank = F.min(order).alias("__order") if order else F.first(key).alias("__order")
     keys = y.where(F.col(key).isNotNull()).groupBy(key).agg(rank).join(x.select(key).distinct(), key, "left_semi")
-    parts = keys.repartitionByRange("__order", key).select(key, "__order", F.spark_partition_id().alias("__part"))
-    parts = keep(parts)
+    keys = keep(keys)  # dealing out in ranges reads them twice
+    parts = keep(keys.repartitionByRange("__order", key).select(key, "__order", F.spark_partition_id().alias("__part")))
     before = parts.groupBy("__part").count()  # one row per range
     before = before.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy("__order", key))

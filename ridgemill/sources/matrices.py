@@ -6,6 +6,7 @@ import warnings
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -66,6 +67,10 @@ def union_metadata(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+#: Cells in a batch of `MatrixRanges`.
+CELLS = 65_536
+
+
 class MatrixRanges(DataSource):
     """``spark.read.format("matrix_ranges")``: long cells of a callable source, a
     partition per range of columns. Options: rows, columns, step; the callable
@@ -102,6 +107,10 @@ class _Ranges(DataSourceReader):
         values = np.asarray(self.function(first, last), dtype=float)
         if values.shape != (self.rows, last - first + 1):
             raise ValueError(f"columns {first}..{last}: {values.shape} instead of {(self.rows, last - first + 1)}")
-        for j in range(values.shape[1]):
-            for i in range(self.rows):
-                yield (i, f"s{first + j + 1}", first + j, float(values[i, j]))
+        step = max(1, CELLS // max(1, self.rows))
+        for lo in range(0, values.shape[1], step):
+            part = values[:, lo : lo + step]
+            places = first + lo + np.arange(part.shape[1], dtype=np.int32)
+            names = np.array([f"s{k + 1}" for k in places], dtype=object)
+            columns = [np.tile(np.arange(self.rows, dtype=np.int32), len(places)), np.repeat(names, self.rows), np.repeat(places, self.rows), part.T.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row_idx", "sample", "sample_ord", "value"])
