@@ -136,10 +136,10 @@ def infer(
     if add_background and background_position == "before_scale":
         x = align.with_background(x, y, n_samples)
     if scale_method == "column":
-        x = x.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # a null is no zero
+        x = keep(x.withColumn("value", F.coalesce("value", F.lit(float("nan")))))  # a null is no zero
         x = scale.zscore_pipeline(align.densify(x, keys, x, "feature"), "feature")
-        y, stats = scale.centred_parts(y, n)
-        y, options["stats"] = keep(y), keep(stats)
+        y, options["stats"] = scale.centred_parts(y, n)
+        y = keep(y)
         if add_background and background_position == "after_scale":
             x = align.with_background(x, scale.scaled_row_means(y, options["stats"], keys), 1)
     elif add_background and background_position == "after_scale":

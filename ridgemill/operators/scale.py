@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ridgemill.model import SD_FLOOR
 from ridgemill.operators.align import is_finite, zero_non_finite
+from ridgemill.tables import keep
 
 
 def _population(y: DataFrame, column: str) -> DataFrame:
@@ -73,11 +74,11 @@ def centred_parts(y: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
     sums = y.groupBy("sample").agg(F.count("*").alias("stored"), F.count(known).alias("k"), F.avg(known).alias("m"), F.var_pop(known).alias("v"))
     zeros = F.greatest(F.lit(n_rows) - F.col("stored"), F.lit(0))
     n = F.col("k") + zeros
-    center = F.col("k") * F.col("m") / n
-    spread = F.sqrt(F.try_divide(F.col("k") * F.col("v") + F.col("m") * F.col("m") * F.col("k") * zeros / n, n - 1))
-    stats = sums.where("k > 0").select("sample", center.alias("center"), spread.alias("scale"))
+    center = F.try_divide(F.coalesce(F.col("k") * F.col("m"), F.lit(0.0)), n)
+    spread = F.sqrt(F.try_divide(F.col("k") * F.col("v") + F.try_divide(F.col("m") * F.col("m") * F.col("k") * zeros, n), n - 1))
+    stats = sums.select("sample", center.alias("center"), spread.alias("scale"))
     wide = is_finite("center") & is_finite("scale") & (F.col("scale") > 0)
-    stats = sums.select("sample").join(stats, "sample", "left").select("sample", F.when(wide, F.col("center")).otherwise(0.0).alias("center"), F.when(wide, F.col("scale")).alias("scale"))
+    stats = keep(stats.select("sample", F.when(wide, F.col("center")).otherwise(0.0).alias("center"), F.when(wide, F.col("scale")).alias("scale")))
     cells = y.join(stats, "sample").withColumn("value", F.when(F.col("scale").isNull(), 0.0).otherwise(F.coalesce(known, "center"))).select(*y.columns)
     return cells, stats
 
