@@ -13,9 +13,10 @@ its transpose is never formed whole:
 * Columns with up to BUCKET rows give their pairs; overlap counts accumulate per
   pair, and pairs below the bound are discarded before rows are fetched.
 * Columns with more rows give no pairs. Their rows form groups, the groups are
-  cut into blocks of bounded rows and shingles by row size and hash, and block pairs whose
-  sizes are compatible are multiplied in tasks (`_product`), which return a
-  spanning forest of their links, not the links.
+  cut into blocks of bounded rows and shingles by row size and hash. Blocks are
+  multiplied in tasks (`_product`), which return a spanning forest of their
+  links, not the links: first each with itself, then those pairs whose sizes are
+  compatible and that may still join rows not known to be together.
 
 The remaining pairs are verified on their whole rows.
 """
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgemill.llm import textops
@@ -244,9 +245,65 @@ def _overlaps(percent: int):
     return run
 
 
-def _cuts(members: DataFrame) -> DataFrame:
-    """(component, step, cuts): blocks for the rows of a step, by shingles and by rows."""
-    return members.groupBy("component", "step").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / ROWS)).cast("int").alias("cuts"))
+def _cuts(members: DataFrame, *by: str) -> DataFrame:
+    """(component, step, *by, cuts): blocks for the rows of a step, by shingles and by rows."""
+    return members.groupBy("component", "step", *by).agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / ROWS)).cast("int").alias("cuts"))
+
+
+def _cell(step, side, cut) -> Column:
+    return F.struct(step.alias("step"), F.lit(side).alias("side"), cut.alias("cut"))
+
+
+def _pair_with(own: Column, step: Column, side: int):
+    return lambda c: F.struct(F.least(own, _cell(step, side, c)).alias("x"), F.greatest(own, _cell(step, side, c)).alias("y"))
+
+
+def _block_pairs() -> Column:
+    """The block pairs of a row (step, side, cut): with the blocks of its own step
+    and of the steps next to it, unless both are on the main side.
+
+    `known` maps (step, side) to its number of blocks.
+    """
+    pairs = []
+    for mine in (0, 1):
+        for theirs in (0, 1):
+            if mine and theirs:
+                continue
+            for beyond in (-1, 0, 1):
+                step = F.col("step") + beyond
+                count = F.coalesce(F.try_element_at("known", F.struct(step.alias("step"), F.lit(theirs).alias("side"))), F.lit(0))
+                own = _cell(F.col("step"), mine, F.col("cut"))
+                pairs.append(F.when((F.col("side") == mine) & (count > 0), F.transform(F.sequence(F.lit(0), count - 1), _pair_with(own, step, theirs))).otherwise(F.array()))
+    return F.concat(*pairs)
+
+
+def _linked_blocks(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join what the rows of `members` (component, step, doc_id,
+    n) and `links` hold together.
+
+    First each block is multiplied with itself. Of what that leaves, a group's
+    largest linked class is its main side. Two rows of it need no comparison, as
+    they are known to be together, so only the others' blocks meet all blocks:
+    a group of near copies costs its rows times those outside its main class.
+    """
+    cut = members.join(keep(_cuts(members)).hint("merge"), ["component", "step"]).withColumn("cut", F.pmod(F.xxhash64("doc_id"), "cuts").cast("int"))
+    blocks = cut.join(sets.hint("merge"), "doc_id").select("component", "step", "cut", "doc_id", "tokens")
+    found = keep(components(links.union(blocks.groupBy("component", "step", "cut").applyInArrow(_product(percent), "a long, b long"))))
+
+    named = members.join(found.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "root").hint("merge"), "doc_id", "left")
+    named = keep(named.withColumn("root", F.coalesce("root", "doc_id")))
+    main = named.groupBy("component", "root").count().groupBy("component").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    sided = named.join(keep(main).hint("merge"), "component").withColumn("side", (F.col("root") == F.col("main")).cast("int")).drop("root", "main")
+    sided = keep(sided)
+    cuts = keep(_cuts(sided, "side"))
+    steps = [cuts.select("component", (F.col("step") - beyond).alias("step"), F.struct("step", "side").alias("k"), F.col("cuts").alias("v")) for beyond in (-1, 0, 1)]
+    known = steps[0].union(steps[1]).union(steps[2]).groupBy("component", "step").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("known"))  # six entries at most
+    spread = sided.join(keep(known).hint("merge"), ["component", "step"])
+    spread = spread.withColumn("cut", F.pmod(F.xxhash64("doc_id"), F.element_at("known", F.struct("step", "side"))).cast("int"))
+    spread = spread.select("doc_id", "component", F.explode(_block_pairs()).alias("block"))
+    blocks = spread.join(sets.hint("merge"), "doc_id").select("component", "block", "doc_id", "tokens")
+    forest = blocks.groupBy("component", "block").applyInArrow(_product(percent), "a long, b long")
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(forest)
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -284,8 +341,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     pairs = keep(pairs)
 
     long = found.where("token is not null").select("token", F.col("a").alias("doc_id"), F.col("na").alias("n"))
-    stars = long.groupBy("token").agg(F.min("doc_id").alias("b"))
-    grouped = components(long.join(stars, "token").select(F.col("doc_id").alias("a"), "b"))
+    stars = keep(long.groupBy("token").agg(F.min("doc_id").alias("b")))
+    grouped = components(long.join(stars.hint("merge"), "token").select(F.col("doc_id").alias("a"), "b"))
     members = long.select("doc_id", "n").distinct().join(grouped.withColumnRenamed("node", "doc_id"), "doc_id")
     members = keep(members.withColumn("step", F.floor(F.log(F.col("n") + F.lit(0.0)) / F.lit(-np.log(percent / 100)))))
 
@@ -302,22 +359,9 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
     links = both.select("a", "b", "ta", "tb").mapInArrow(_overlaps(percent), "a long, b long")
 
-    cuts = _cuts(members)
-    beyond = cuts.select("component", (F.col("step") - 1).alias("step"), F.col("cuts").alias("beyond"))
-    mine = members.join(cuts, ["component", "step"]).withColumn("cut", F.pmod(F.xxhash64("doc_id"), "cuts").cast("int"))
-    mine = mine.join(beyond, ["component", "step"], "left").join(cuts.select("component", (F.col("step") + 1).alias("step"), F.col("cuts").alias("before")), ["component", "step"], "left")
-    #: A block meets the blocks of its own step and of the next; as the upper one, those of the step before.
-    own = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: F.struct(F.col("step").alias("low"), F.least("cut", c).alias("x"), F.col("step").alias("high"), F.greatest("cut", c).alias("y")))
-    up = F.transform(F.sequence(F.lit(0), F.col("beyond") - 1), lambda c: F.struct(F.col("step").alias("low"), F.col("cut").alias("x"), (F.col("step") + 1).alias("high"), c.alias("y")))
-    down = F.transform(F.sequence(F.lit(0), F.col("before") - 1), lambda c: F.struct((F.col("step") - 1).alias("low"), c.alias("x"), F.col("step").alias("high"), F.col("cut").alias("y")))
-    spread = mine.select("doc_id", "component", F.explode(F.concat(own, F.coalesce(up, F.array().cast(own_type)), F.coalesce(down, F.array().cast(own_type)))).alias("block"))
-    blocks = spread.join(sets, "doc_id").select("component", "block", "doc_id", "tokens")
-    forest = blocks.groupBy("component", "block").applyInArrow(_product(percent), "a long, b long")
-
-    joined = components(links.union(forest)).withColumnRenamed("node", "rep")
-    named_classes = classes.join(joined, "rep", "left").select("sig_a", "sig_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    joined = components(_linked_blocks(members, sets, links, percent)).withColumnRenamed("node", "rep")
+    # written, so that the merge with the rows of one large class can be split
+    named_classes = keep(classes.join(joined, "rep", "left").select("sig_a", "sig_b", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
     rows = profile.select("doc_id", "n_shingles", "sig_a", "sig_b").join(named_classes, ["sig_a", "sig_b", "n_shingles"], "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
-
-own_type = "array<struct<low:bigint,x:int,high:bigint,y:int>>"
