@@ -1,11 +1,14 @@
-"""Benchmark decontamination: size-partitioned prefix search for containment.
-
-DataFrame functions only. Each item keeps the first shingles of an order, those
-that few items have first, as a sketch, and the search looks the sketch up among
-the documents' shingles. Items are partitioned by size: a partition's sketch
-length follows from its largest size u as ``u - ceil(t * u) + 1``, which any
-document with containment t must meet at least once under any order. Pairs that
-meet are verified by exact shingle containment over the documents they name.
+"""Benchmark decontamination: size-partitioned MinHash search for containment.
+
+DataFrame functions only. The hash of a shingle is its place in one random
+order. Each item keeps its smallest hashes as a bottom-k MinHash sketch, and
+items are partitioned by size: a partition whose largest size is u has sketches
+of ``u - ceil(t * u) + DEPTH`` hashes. A document with containment t lacks at
+most ``n - ceil(t * n)`` of an item's n shingles, so it holds the rest of the
+sketch, DEPTH hashes or more; a pair that shares fewer is discarded. Documents
+have no sketch, as a short item leaves no trace in that of a long document:
+all their shingles are looked up. Pairs that remain are verified by exact
+shingle containment over the documents they name.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from ridgemill.llm.shared import keep
 #: Sketch rows (16 bytes each) up to which the sketch is broadcast; beyond, the
 #: join shuffles.
 BROADCAST_ROWS = 500_000
+#: Hashes of a sketch that a contaminated document shares at least.
+DEPTH = 3
 
 
 def words(text: Column) -> Column:
@@ -56,13 +61,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     widths = sorted(r["width"] for r in items.select("width").distinct().collect()) or [width]  # `width` numbers at most
     own = F.coalesce(*[F.when(F.col("width") == k, shingle_hashes(k)) for k in widths])
     grams = items.select("item_id", "width", F.explode(own).alias("h")).distinct()
-    spread = grams.groupBy("width", "h").agg(F.count("*").alias("shared"))
-    sized = grams.join(spread, ["width", "h"]).withColumn("n_item", F.count("*").over(Window.partitionBy("item_id")))
-    # the partition of an item: sizes from 2**k to 2**(k + 1) - 1; shingles that few items have come first
-    part = sized.withColumn("low", F.pow(F.lit(2), F.floor(F.log2("n_item"))).cast("long")).withColumn("high", 2 * F.col("low") - 1)
-    part = part.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("shared", "h", "width")))
-    part = keep(part.select("width", "h", "item_id", "n_item", "low", "high", "place"))
-    sketch = part.where(F.col("place") <= F.col("high") - F.ceil(F.col("high") * percent / 100) + 1).select("width", "h", "item_id", "low")
+    sized = grams.withColumn("n_item", F.count("*").over(Window.partitionBy("item_id")))
+    # the partition of an item: sizes from 2**k to 2**(k + 1) - 1
+    part = sized.withColumn("high", 2 * F.pow(F.lit(2), F.floor(F.log2("n_item"))).cast("long") - 1)
+    part = part.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "width")))
+    lacking = lambda n: F.col(n) - F.ceil(F.col(n) * percent / 100)
+    part = part.withColumn("kept", F.least("n_item", lacking("high") + DEPTH))
+    part = keep(part.select("width", "h", "item_id", "n_item", "place", "kept", F.greatest(F.lit(1), F.col("kept") - lacking("n_item")).alias("least")))
+    sketch = part.where("place <= kept").select("width", "h", "item_id", "least")
     hint = F.broadcast if part.count() <= BROADCAST_ROWS else (lambda df: df)
 
     def shingled(rows: DataFrame, kept: str) -> DataFrame:
@@ -72,7 +78,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
 
     searched = shingled(docs, "x.all").join(hint(sketch), ["width", "h"])
     # no test of a document's size here: it may be spread over rows that repeat its id
-    pairs = keep(searched.select("doc_id", "item_id").distinct())
+    met = searched.select("doc_id", "item_id", "least", "h").distinct().groupBy("doc_id", "item_id", "least").count()
+    pairs = keep(met.where("count >= least").select("doc_id", "item_id"))
 
     verify = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     held = shingled(verify, "x.all").join(hint(part.select("width", "h", "item_id", "n_item")), ["width", "h"])
