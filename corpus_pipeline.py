@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of `documents`. `run` writes each result as Parquet in the
-shared folder and gives it to the next stage.
+shared folder, gives it to the next stage and deletes it when that is written.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ridgemill.llm.decontaminate import contaminated
 from ridgemill.llm.ngram_join import ngram_join
 from ridgemill.llm.packing import pack
 from ridgemill.llm.queries import TOXIC, vocabulary
-from ridgemill.llm.shared import keep
+from ridgemill.llm.shared import discard, keep
 from ridgemill.llm.substring_dedup import dedup_passages
 from ridgemill.llm.toxicity import score, teach
 from ridgemill.session import ship
@@ -53,7 +53,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Rows without doc_id are not judged and stay."""
     ship(spark)
     hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
@@ -70,7 +70,8 @@ STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("passag
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of `sf_dir`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir))
+    docs = keep(STAGES[0][1](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir))
+    for _, stage in STAGES[1:-1]:
+        last, docs = docs, keep(stage(spark, docs, sf_dir))
+        discard(last)  # what it led to is written
     return STAGES[-1][1](spark, docs, sf_dir)
