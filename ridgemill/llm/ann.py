@@ -21,18 +21,20 @@ from pyspark.sql import functions as F
 
 from ridgemill.llm.shared import keep
 
-#: Vectors (at most) on which centroids are fitted: the documented bound.
-SAMPLE = 20_000
 #: Vectors per list, and lists at most.
-SHARE, LISTS = 128, 2048
+SHARE, LISTS = 128, 16_384
+#: Vectors (at most) on which centroids are fitted: this many, or PER_LIST for
+#: each list, so 65,536 at most. That is the documented bound.
+SAMPLE, PER_LIST = 20_000, 4
 #: Boundary vectors: ratio to the nearest centroid, and lists per vector.
 REPLICA_RATIO, REPLICAS = 1.15, 4
-#: Queries: ratio to the nearest centroid, lists per query, and vectors wanted per neighbour.
-QUERY_RATIO, QUERY_LISTS, WANTED = 1.6, 64, 40
-#: Rows of a list that meet in one task.
-BLOCK = 4096
-#: Neighbours of a centroid in the graph, and width of the walk.
-DEGREE, BEAM = 16, 96
+#: Queries: ratio to the nearest centroid, lists per query (this many, or that
+#: share of all lists if it is more), and vectors wanted per neighbour.
+QUERY_RATIO, QUERY_LISTS, QUERY_SHARE, WANTED = 1.6, 64, 1 / 16, 40
+#: Rows of a list, and queries of it, that meet in one task.
+BLOCK, QUERY_BLOCK = 4096, 4096
+#: Neighbours of a centroid in the graph, and width of the walk beyond the lists of a query.
+DEGREE, BEAM = 16, 1.5
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,20 +42,32 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def nearest(a: np.ndarray, b: np.ndarray, k: int = 1) -> np.ndarray:
+    """Places in `b` of the k nearest rows for each row of `a`, nearest first; a
+    block of rows at a time."""
+    out = np.empty((len(a), k), dtype=np.int64)
+    step = max(1, 4_000_000 // len(b))
+    for lo in range(0, len(a), step):
+        far = distances(a[lo : lo + step], b)
+        first = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(b) else np.repeat(np.arange(len(b))[None], len(far), axis=0)
+        out[lo : lo + step] = np.take_along_axis(first, np.argsort(np.take_along_axis(far, first, axis=1), axis=1, kind="stable"), axis=1)
+    return out
+
+
 def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Lloyd's rounds, then lists of over twice their share are halved."""
     rng = np.random.default_rng(7)
     lists = max(1, min(lists, len(sample)))
     centroids = sample[rng.choice(len(sample), lists, replace=False)]
     for _ in range(rounds):
-        near = distances(sample, centroids).argmin(1)
+        near = nearest(sample, centroids)[:, 0]
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, sample)
         counts = np.bincount(near, minlength=len(centroids))
         centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids)
     most = max(2.0, 2 * len(sample) / lists)
     for _ in range(6):
-        near = distances(sample, centroids).argmin(1)
+        near = nearest(sample, centroids)[:, 0]
         counts = np.bincount(near, minlength=len(centroids))
         heavy = np.flatnonzero(counts > most)
         if not len(heavy):
@@ -77,10 +91,9 @@ class Graph:
     def __init__(self, centroids: np.ndarray) -> None:
         self.centroids = centroids
         n = len(centroids)
-        between = distances(centroids, centroids)
-        np.fill_diagonal(between, np.inf)
-        degree = min(DEGREE, n - 1)
-        near = np.argsort(between, axis=1)[:, :degree]
+        near = nearest(centroids, centroids, min(DEGREE + 1, n))
+        near = [row[row != i][:DEGREE] for i, row in enumerate(near)]
+        self.lists = max(QUERY_LISTS, int(n * QUERY_SHARE))
         links = [set(row.tolist()) for row in near]
         for i, row in enumerate(near):
             for j in row.tolist():
@@ -91,8 +104,9 @@ class Graph:
         self.links = [np.array(sorted(x), dtype=np.int64) for x in links]
         self.entry = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
 
-    def walk(self, query: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, query: np.ndarray, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """About `width` nearest centroids and their distances, nearest first."""
+        width = width or int(BEAM * self.lists)
         seen = np.zeros(len(self.centroids), bool)
         seen[self.entry] = True
         found = [(float(d), int(i)) for d, i in zip(self._to(query, self.entry), self.entry, strict=True)]
@@ -127,26 +141,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _post(shared):
     def run(batches):
-        graph = shared.value
-        centroids = graph.centroids
-        between = np.sqrt(distances(centroids, centroids))
+        centroids = shared.value.centroids
         for batch in batches:
             if not batch.num_rows:
                 continue
             points = _matrix(batch.column("vector"))
             rows, lists = [], []
-            for lo in range(0, len(points), 1024):
-                far = np.sqrt(distances(points[lo : lo + 1024], centroids))
-                near = np.argsort(far, axis=1)[:, : 2 * REPLICAS]
-                for i, row in enumerate(near):
-                    chosen = [row[0]]
-                    for c in row[1:]:
-                        if len(chosen) == REPLICAS or far[i, c] > REPLICA_RATIO * far[i, row[0]]:
-                            break
-                        if between[c, chosen].min() > far[i, c] * 0.5:
-                            chosen.append(c)
-                    rows += [lo + i] * len(chosen)
-                    lists += chosen
+            for i, row in enumerate(nearest(points, centroids, min(2 * REPLICAS, len(centroids)))):
+                near = centroids[row]
+                far = np.sqrt(((near - points[i]) ** 2).sum(1))
+                between = np.sqrt(distances(near, near))
+                chosen = [0]
+                for c in range(1, len(row)):
+                    if len(chosen) == REPLICAS or far[c] > REPLICA_RATIO * far[0]:
+                        break
+                    if between[c, chosen].min() > far[c] * 0.5:
+                        chosen.append(c)
+                rows += [i] * len(chosen)
+                lists += row[chosen].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), *(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("vector", "ids"))], names=["list", "vector", "ids"])
 
     return run
@@ -161,7 +173,7 @@ def _choose(shared, sizes, k: int):
                 near, far = graph.walk(query)
                 held = np.cumsum(counts[near])
                 # lists within the ratio, and more until there is enough to choose from
-                take = max(int((far[:QUERY_LISTS] <= QUERY_RATIO * far[0]).sum()), int(np.searchsorted(held, WANTED * k)) + 1)
+                take = max(int((far[: graph.lists] <= QUERY_RATIO * far[0]).sum()), int(np.searchsorted(held, WANTED * k)) + 1)
                 rows += [i] * len(near[:take])
                 lists += near[:take].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), *(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("query_id", "vector"))], names=["list", "query_id", "vector"])
@@ -218,24 +230,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    sample = points.select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE).toPandas()
     lists = int(min(LISTS, max(1, total // SHARE)))
+    sample = points.select("vector").orderBy(F.xxhash64("vector")).limit(max(SAMPLE, PER_LIST * lists)).toPandas()
     shared = spark.sparkContext.broadcast(Graph(balanced_centroids(np.array(sample["vector"].tolist()), lists)))
     n_lists = len(shared.value.centroids)
 
-    posts = keep(points.mapInArrow(_post(shared), "list long, vector array<double>, ids array<long>"))
-    counts = np.zeros(n_lists, dtype=np.int64)
-    for row in posts.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():  # n_lists rows at most
-        counts[row["list"]] = row["n"]
-    blocks = F.array(*[F.lit(max(1, -(-int(c) // BLOCK))) for c in counts])
-    of_list = F.get(blocks, F.col("list").cast("int"))
-    posts = posts.withColumn("block", F.pmod(F.xxhash64("vector"), of_list).cast("int"))
+    def sizes(rows: DataFrame, one) -> np.ndarray:
+        counts = np.zeros(n_lists, dtype=np.int64)
+        for row in rows.groupBy("list").agg(F.sum(one).alias("n")).collect():  # n_lists rows at most
+            counts[row["list"]] = row["n"]
+        return counts
 
+    posts = keep(points.mapInArrow(_post(shared), "list long, vector array<double>, ids array<long>"))
+    counts = sizes(posts, F.size("ids"))
     asked = usable(queries).where(F.size("vector") == size).distinct().withColumnRenamed("vec_id", "query_id")
-    chosen = asked.mapInArrow(_choose(shared, spark.sparkContext.broadcast(counts), k), "list long, query_id long, vector array<double>")
-    chosen = chosen.withColumn("block", F.explode(F.sequence(F.lit(0), of_list - 1)))
-
-    found = chosen.groupBy("list", "block").cogroup(posts.groupBy("list", "block")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+    chosen = keep(asked.mapInArrow(_choose(shared, spark.sparkContext.broadcast(counts), k), "list long, query_id long, vector array<double>"))
+    # a list is cut into blocks of its vectors and parts of its queries, and each block meets each part
+    cuts = [(i, max(1, -(-int(c) // BLOCK)), max(1, -(-int(q) // QUERY_BLOCK))) for i, (c, q) in enumerate(zip(counts, sizes(chosen, F.lit(1)), strict=True))]
+    cuts = F.broadcast(spark.createDataFrame(cuts, "list long, blocks int, parts int"))  # n_lists rows
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    of = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    posts = posts.join(cuts, "list").select("list", of("vector", "blocks").alias("block"), each("parts").alias("part"), "vector", "ids")
+    chosen = chosen.join(cuts, "list").select("list", of("query_id", "parts").alias("part"), each("blocks").alias("block"), "query_id", "vector")
+
+    found = chosen.groupBy("list", "block", "part").cogroup(posts.groupBy("list", "block", "part")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
