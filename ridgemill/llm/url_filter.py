@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgemill.llm.shared import unused
+
 #: Bytes of URLs that advance together.
 CHUNK = 1_000_000
 
@@ -117,6 +119,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     together) wins, then the earlier one. rule is its host and path, null where
     none fits; then verdict is `default`. Null URLs and URLs without ``://`` have
     an empty host and path, which no rule fits. Repeated rows are judged alike.
+    All other columns pass through, whatever their names. No rows give no rows.
     """
     order = sorted(range(len(rules)), key=lambda i: (-len(rules[i][1] + rules[i][2]), i))
     ranked = [rules[i] for i in order]
@@ -128,17 +131,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     shared = pages.sparkSession.sparkContext.broadcast(automaton)
     host, path = canonical(F.col("url"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    fits_name = unused("fits", pages)
     cut = pages.select(*kept, host.alias("host"), path.alias("path"))
 
     def run(batches):
         for batch in batches:
             texts = [h.encode() + p.encode() for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield batch.append_column("fits", pa.array(shared.value.match(texts)))
+            yield batch.append_column(fits_name, pa.array(shared.value.match(texts)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    found = cut.mapInArrow(run, f"{schema}, fits long")
+    found = cut.mapInArrow(run, f"{schema}, {fits_name} long")
     names = F.array(*[F.lit(h + p) for h, p in quoted]) if ranked else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(v) for v, _, _ in ranked]) if ranked else F.array().cast("array<string>")
-    fits = F.col("fits") >= 0
-    place = F.greatest(F.col("fits"), F.lit(0)).cast("int")
+    fits = F.col(fits_name) >= 0
+    place = F.greatest(F.col(fits_name), F.lit(0)).cast("int")
     return found.select(*kept, "host", "path", F.when(fits, F.get(names, place)).alias("rule"), F.coalesce(F.when(fits, F.get(verdicts, place)), F.lit(default)).alias("verdict"))
