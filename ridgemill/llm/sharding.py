@@ -17,6 +17,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgemill.llm.shared import unused
+
 #: A prime; over 100 slots per shard keep shares within about 1 %.
 SLOTS = 65_537
 
@@ -52,17 +54,19 @@ def assign(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) ->
     """`rows` with the columns slot and shard added (replaced where they exist).
 
     Equal keys get equal shards, wherever they stand; a null key counts as an
-    empty text. No rows give no rows.
+    empty text. All other columns pass through, whatever their names. No rows
+    give no rows.
     """
     names = F.array(*[F.lit(s) for s in shards])
-    table = rows.sparkSession.createDataFrame(list(enumerate(fill(shards, slots))), "__slot bigint, __shard int")
-    placed = rows.drop("slot", "shard").withColumn("slot", slot_of(F.col(key) if key not in ("slot", "shard") else rows[key], slots))
-    joined = placed.join(F.broadcast(table), placed["slot"] == table["__slot"])
-    return joined.withColumn("shard", F.element_at(names, F.col("__shard") + 1)).drop("__slot", "__shard")
+    place = unused("place", rows)
+    table = rows.sparkSession.createDataFrame(list(enumerate(fill(shards, slots))), f"slot bigint, {place} int")
+    kept = [c for c in rows.columns if c not in ("slot", "shard")]
+    placed = rows.select(*kept, slot_of(F.col(key), slots).alias("slot"))
+    return placed.join(F.broadcast(table), "slot").select(*kept, "slot", F.element_at(names, F.col(place) + 1).alias("shard"))
 
 
 def write_shards(rows: DataFrame, key: str, shards: list[str], path: str, split: int = 16) -> None:
     """Write `rows` as Parquet under ``shard=NAME``. A shard's rows go to `split`
     tasks by a hash of the whole row, so a hot key does not make one task."""
-    placed = assign(rows, key, shards)
-    placed.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(split))).repartition("shard", "__salt").drop("__salt").write.partitionBy("shard").parquet(path)
+    placed, salt = assign(rows, key, shards), unused("salt", rows)
+    placed.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(split))).repartition("shard", salt).drop(salt).write.partitionBy("shard").parquet(path)

@@ -417,7 +417,8 @@ def test_sharding(spark, table, tmp_path):
         turn += 1
     assert table_ == filled
     rows = [(1, "k"), (2, "k"), (3, None), (4, ""), (4, "")]
-    got = sharding.assign(table([(*r, "old") for r in rows], "id long, key string, shard string"), "key", shards, 1009).collect()
+    got = sharding.assign(table([(*r, "old", "a", "b") for r in rows], "id long, key string, shard string, place string, __slot string"), "key", shards, 1009).collect()
+    assert {(r["place"], r["__slot"]) for r in got} == {("a", "b")}
     want = lambda k: int(hashlib.md5((k or "").encode()).hexdigest()[:15], 16) % 1009
     assert Counter((r["id"], r["slot"], r["shard"]) for r in got) == Counter((i, want(k), shards[filled[want(k)]]) for i, k in rows)
     sharding.write_shards(table(rows, "id long, key string"), "key", shards, str(tmp_path / "out"))
