@@ -189,7 +189,7 @@ def fit(train: DataFrame) -> Model:
     sample = rows.where("fold = 0").select("key", "text", "toxic").mapInArrow(best, "key string, toxic int, tokens long, scores array<double>")
     held = sample.orderBy(F.xxhash64("key", "toxic"), "tokens", "scores").limit(CALIBRATION).toPandas()
     clean_rows = held[held["toxic"] == 0]
-    # method of moments: the mean of rate * max - log(tokens) is log K + Euler's constant
+    # the median of rate * max - log(tokens) is log K - log(log 2)
     shifted = [rate * max(s) - np.log(max(n, 1)) for s, n in zip(clean_rows["scores"], clean_rows["tokens"], strict=True) if len(s)]
     scale = float(np.exp(np.median(shifted) + np.log(np.log(2)))) if shifted else 1e-3
     x = np.array([significance([(0, 0, v) for v in s], n, rate, scale) for s, n in zip(held["scores"], held["tokens"], strict=True)])
@@ -252,8 +252,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out() -> F.Column:
-    """Rows that never teach: crc32 of doc_id as text leaves 1 when divided by 3."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    """Rows that never teach: crc32 of doc_id as text leaves 1 when divided by 3.
+    Rows without doc_id are none; they have no label either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def teach(docs: DataFrame, labels: DataFrame) -> Model:
