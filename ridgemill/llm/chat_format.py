@@ -7,7 +7,7 @@ feed. Inside roles and texts, ``\\`` becomes ``\\\\`` and ``<|`` becomes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The template's control strings.
@@ -46,22 +46,22 @@ def expand(conversations: DataFrame) -> DataFrame:
         F.length(escape(F.col("text"))).cast("long").alias("body"),
         F.concat(head, escape(F.col("text")), F.lit(END + "\n")).alias("shown"),
     )
-    whole = shown.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "lead", "body", "shown"))).alias("t"))
-    # where each turn begins in the text of the conversation
-    zero = F.array(F.lit(0).cast("bigint"))
-    begins = F.aggregate("t", zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["lead"] + x["body"] + len(END) + 1)))
-    whole = whole.select("conv_id", F.col("t.role").alias("roles"), F.col("t.lead").alias("leads"), F.col("t.body").alias("bodies"), begins.alias("begins"), F.array_join("t.shown", "").alias("all"))
+    # where each turn ends in the text of the conversation
+    inner = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shown = shown.withColumn("end", F.sum(F.col("lead") + F.col("body") + (len(END) + 1)).over(inner))
+    whole = shown.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "end", "lead", "body", "shown"))).alias("t"))
+    whole = whole.select("conv_id", F.col("t.role").alias("roles"), F.col("t.body").alias("bodies"), F.col("t.end").alias("ends"), F.array_join("t.shown", "").alias("all"))
     n = F.size("roles")
     replies = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("roles", i) == "assistant")
     last = F.when(F.element_at("roles", -1) != "assistant", F.array(n)).otherwise(F.array().cast("array<int>"))
     targets = whole.select("*", F.posexplode(F.concat(replies, last)).alias("example", "i"))
     reply = F.element_at("roles", F.col("i")) == "assistant"
-    begin, lead, body = (F.element_at(c, F.col("i")) for c in ("begins", "leads", "bodies"))
+    end, body = (F.element_at(c, F.col("i")) for c in ("ends", "bodies"))
     return targets.select(
         "conv_id",
         "example",
-        F.substring("all", F.lit(1), F.element_at("begins", F.col("i") + 1).cast("int")).alias("formatted"),
-        (begin + lead).alias("loss_start"),
+        F.substring("all", F.lit(1), end.cast("int")).alias("formatted"),
+        (end - (len(END) + 1) - body).alias("loss_start"),
         F.when(reply, body).otherwise(F.lit(0).cast("bigint")).alias("loss_length"),
     )
 
