@@ -13,7 +13,7 @@ from ridgemill.llm.ngram_join import ngram_join
 from ridgemill.llm.packing import pack
 from ridgemill.llm.sharding import assign
 from ridgemill.llm.substring_dedup import dedup_passages
-from ridgemill.llm.token_counts import count_tokens, write_flat
+from ridgemill.llm.token_counts import count_tokens, read_flat, write_flat
 from ridgemill.llm.toxicity import held_out, score, teach
 from ridgemill.llm.url_filter import judge
 
@@ -80,8 +80,8 @@ def op9_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> Data
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, order = write_flat(_table(spark, sf_dir, "documents"), **vocabulary())
-    counts = count_tokens(blocks)
+    files, order = write_flat(_table(spark, sf_dir, "documents"), **vocabulary())
+    counts = count_tokens(read_flat(files))
     return order.join(counts, ["file", "place"]).select("doc_id", "n_tokens")
 
 

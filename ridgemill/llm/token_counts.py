@@ -1,7 +1,8 @@
 """Token counts by a separator scan over flat, unindexed token files.
 
 A flat file is a sequence of token ids with an end-of-document id after each
-document and no index. It is read in blocks that know nothing of documents.
+document and no index. It is read by ranges of bytes, in blocks that know
+nothing of documents.
 Each block is searched for separators in one vector operation; it yields the
 counts of the documents that end in it, of which the first is short of what
 earlier blocks hold. A prefix scan over the blocks' totals (separators, tokens
@@ -12,13 +13,14 @@ long file is no single task.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgemill.llm.shared import keep
+from ridgemill.llm.shared import keep, qualified, shared_folder
 from ridgemill.llm.tokens import SEPARATOR_ID, encoder
 
 #: Tokens per block, two bytes each.
@@ -28,50 +30,77 @@ RUN = 256
 DTYPE = np.dtype("<u2")
 
 
-def write_flat(docs: DataFrame, ranks: str, pattern: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Token files of `docs`, one per partition: (file, block, tokens) and the
-    documents' order (file, place, doc_id).
+def _opened(path: str):
+    """The store of a path with a scheme, and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def write_flat(docs: DataFrame, ranks: str, pattern: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Token files of `docs`, one per partition, in `folder` (by default a new one
+    in the shared folder): (file, bytes) and the documents' order (file, place,
+    doc_id).
 
     Ids are those of the whole text, control strings being ordinary text, as
     unsigned 16-bit integers, and the separator. Null and empty texts are a
     separator alone; rows without doc_id and repeated rows are documents too.
+    Each attempt of a task writes a file of its own, and only those of attempts
+    that ended well are listed, so a lost executor leaves no half file in the
+    result. The folder must be in a store that Arrow can open.
     """
+    folder = qualified(docs.sparkSession, folder or shared_folder(docs.sparkSession))
 
     def run(batches):
-        encode, part = encoder(ranks, pattern).ordinary, TaskContext.get().partitionId()
+        encode = encoder(ranks, pattern).ordinary
         end = int(SEPARATOR_ID).to_bytes(4, "little")
-        held, number, place = bytearray(), 0, 0
-        kinds = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("place", pa.int64()), ("doc_id", pa.int64())])
+        store, root = _opened(folder)
+        store.create_dir(root, recursive=True)
+        name, place, size = f"{uuid.uuid4().hex}.u16", 0, 0
+        kinds = pa.schema([("file", pa.string()), ("place", pa.int64()), ("doc_id", pa.int64()), ("bytes", pa.int64())])
+
+        def rows(places, ids, sizes):
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * len(places), pa.string()), pa.array(places, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], schema=kinds)
+
+        with store.open_output_stream(f"{root}/{name}") as out:
+            for batch in batches:
+                ids = batch.column("doc_id").to_pylist()
+                for text in batch.column("text"):
+                    tokens = np.frombuffer(encode(text.as_py() or "") + end, "<u4").astype(DTYPE).tobytes()
+                    out.write(tokens)
+                    size += len(tokens)
+                yield rows(list(range(place, place + len(ids))), ids, [None] * len(ids))
+                place += len(ids)
+        yield rows([None], [None], [size])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    both = keep(texts.mapInArrow(run, "file string, place long, doc_id long, bytes long"))
+    return both.where("bytes > 0").select("file", "bytes"), both.where("place is not null").select("file", "place", "doc_id")
 
-        def rows(blocks, places, ids):
-            n, m = len(blocks), len(places)
-            return pa.RecordBatch.from_arrays([pa.array([part] * (n + m), pa.int64()), pa.array([b for b, _ in blocks] + [None] * m, pa.int64()), pa.array([t for _, t in blocks] + [None] * m, pa.binary()), pa.array([None] * n + places, pa.int64()), pa.array([None] * n + ids, pa.int64())], schema=kinds)
 
-        for batch in batches:
-            ids, blocks = batch.column("doc_id").to_pylist(), []
-            for text in batch.column("text"):
-                held += np.frombuffer(encode(text.as_py() or "") + end, "<u4").astype(DTYPE).tobytes()
-                while len(held) >= 2 * block:
-                    blocks.append((number, bytes(held[: 2 * block])))
-                    del held[: 2 * block]
-                    number += 1
-            yield rows(blocks, list(range(place, place + len(ids))), ids)
-            place += len(ids)
-        if held:
-            yield rows([(number, bytes(held))], [], [])
+def flat_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes) of the files of a path; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = keep(texts.mapInArrow(run, "file long, block long, tokens binary, place long, doc_id long"))
-    return both.where("block is not null").select("file", "block", "tokens"), both.where("place is not null").select("file", "place", "doc_id")
 
+def read_flat(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(file, block, tokens) of flat files (file, bytes) of little-endian unsigned
+    16-bit ids: each block is one read of its range of bytes, wherever it runs."""
+    step = 2 * block
+    ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("bytes") / step) - 1)).alias("block")).where("bytes > 0")
 
-def read_flat(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, block, tokens) of flat binary files of little-endian unsigned
-    16-bit ids; file is the path."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("content") - 1) / (2 * block)).cast("int")))
-    cut = files.select("file", "content", F.explode(starts).alias("at"))
-    return cut.select("file", F.col("at").cast("long").alias("block"), F.substring("content", F.col("at") * (2 * block) + 1, F.lit(2 * block)).alias("tokens"))
+    def run(batches):
+        for batch in batches:
+            for file, size, at in zip(*(batch.column(c).to_pylist() for c in ("file", "bytes", "block")), strict=True):
+                store, path = _opened(file)
+                with store.open_input_file(path) as source:
+                    tokens = source.read_at(min(step, size - at * step), at * step)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at], pa.int64()), pa.array([tokens], pa.binary())], names=["file", "block", "tokens"])
+
+    # a list of ranges is small, but the work behind it is not: it is dealt out
+    return ranges.repartition("file", "block").mapInArrow(run, "file string, block long, tokens binary")
 
 
 def _search(separator: int):

@@ -258,8 +258,8 @@ def test_plan_uses_each_piece_once(lengths):
 def test_token_counts(table, monkeypatch, block):
     monkeypatch.setattr(token_counts, "RUN", 3)
     rows = [*ODD, *[(3000 + i, t) for i, t in enumerate(TEXTS)], *corpus(5, 30)]
-    blocks, order = token_counts.write_flat(table(rows, DOCS).repartition(3), block=block, **vocabulary())
-    got = order.join(token_counts.count_tokens(blocks), ["file", "place"])
+    files, order = token_counts.write_flat(table(rows, DOCS).repartition(3), **vocabulary())
+    got = order.join(token_counts.count_tokens(token_counts.read_flat(files, block)), ["file", "place"])
     mine = tokens.encoder(**vocabulary())
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == Counter((d, len(mine.ordinary(t or "")) // 4) for d, t in rows)
 
@@ -284,7 +284,7 @@ def test_separator_scan(spark, ids, block):
 def test_flat_files(spark, tmp_path):
     np.array([5, 6, 0, 7, 0, 0, 8], token_counts.DTYPE).tofile(tmp_path / "a.bin")
     (tmp_path / "b.bin").write_bytes(b"")
-    got = token_counts.count_tokens(token_counts.read_flat(spark, str(tmp_path / "*.bin"), block=2), separator=0)
+    got = token_counts.count_tokens(token_counts.read_flat(token_counts.flat_files(spark, str(tmp_path / "*.bin")), block=2), separator=0)
     assert [r["n_tokens"] for r in got.orderBy("place").collect()] == [2, 1, 0, 1]
 
 
