@@ -22,7 +22,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgemill.llm.shared import keep
@@ -191,11 +191,10 @@ def pack(docs: DataFrame, ranks: str, pattern: str, end_id: int, size: int = 102
     table = spark.sparkContext.broadcast(places(plan(histogram, size), size))
 
     # ranks: the pieces of a length in earlier parts, then the place in the part
-    from pyspark.sql import Window
-
     before = counts.select("part", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
     local = pieces.withColumn("row", F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece", "start", "ids_crc32")))
-    ranked = local.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("row") - 1)
+    # both sides are dealt by part and length, so the merge moves no piece again
+    ranked = local.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("row") - 1)
 
     def place(batches):
         runs = table.value
