@@ -25,6 +25,8 @@ from ridgemill.llm.tokens import SEPARATOR_ID, encoder
 
 #: Tokens per block, two bytes each.
 BLOCK = 262_144
+#: Bytes of flat files that a task reads, on average.
+TASK_BYTES = 1 << 26
 #: Blocks per run of the scan.
 RUN = 256
 DTYPE = np.dtype("<u2")
@@ -99,8 +101,9 @@ def read_flat(files: DataFrame, block: int = BLOCK) -> DataFrame:
                     tokens = source.read_at(min(step, size - at * step), at * step)
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at], pa.int64()), pa.array([tokens], pa.binary())], names=["file", "block", "tokens"])
 
-    # a list of ranges is small, but the work behind it is not: it is dealt out
-    return ranges.repartition("file", "block").mapInArrow(run, "file string, block long, tokens binary")
+    # a list of ranges is small, but the work behind it is not: it is dealt out by bytes
+    tasks = -(-(files.agg(F.sum("bytes")).first()[0] or 1) // TASK_BYTES)
+    return ranges.repartition(tasks, "file", "block").mapInArrow(run, "file string, block long, tokens binary")
 
 
 def _search(separator: int):
