@@ -44,7 +44,7 @@ def ridge(
     `stats` (sample, center, scale) gives the test of centred, scaled columns.
     `engine` is ``relational``, ``blocked`` (``tiled`` where its broadcast would
     be too large) or ``tiled``; None chooses by size, and all give the same
-    numbers. `perms` (perm_id, row_idx, src_idx) is a permutation table of the
+    numbers: ties of coefficients are decided exactly. `perms` (perm_id, row_idx, src_idx) is a permutation table of the
     caller, which is checked, in place of the generated one; `block_size` is the
     number of samples that a task of the last two multiplies at a time. No
     intercept is fitted. Null and missing values count as 0, cells that repeat
@@ -64,16 +64,15 @@ def ridge(
     if engine is None:
         p, m = x.agg(F.count_distinct("feature")).first()[0], (samples or y).agg(F.approx_count_distinct("sample")).first()[0]
         engine = "blocked" if n_rand * n_rows * p * m > BLOCKED_FROM else "relational"
-    listed = samples.select("sample").distinct() if samples is not None else y.select("sample").distinct()
-    if engine == "relational":
-        perms = permutation_frame(spark, n_rows, n_rand, seed, rng_method) if perms is None else perms
-        return relational(x, y, lam, n_rand, perms, listed, stats)
-    if engine not in ("blocked", "tiled"):
+    if engine not in ("relational", "blocked", "tiled"):
         raise ValueError("engine must be relational, blocked or tiled")
-    run = blocked if engine == "blocked" and fits(n_rows, x.agg(F.count_distinct("feature")).first()[0], n_rand) else tiled
     rows = vectors(y)
     if samples is not None:
-        rows = listed.join(rows, "sample", "left").select("sample", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("val", F.array().cast("array<double>")).alias("val"))
+        rows = samples.select("sample").distinct().join(rows, "sample", "left").select("sample", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("val", F.array().cast("array<double>")).alias("val"))
+    if engine == "relational":
+        perms = keep(permutation_frame(spark, n_rows, n_rand, seed, rng_method)) if perms is None else perms
+        return relational(x, rows, lam, n_rand, n_rows, perms, stats)
+    run = blocked if engine == "blocked" and fits(n_rows, x.agg(F.count_distinct("feature")).first()[0], n_rand) else tiled
     return run(x, rows, lam, n_rand, n_rows, seed, rng_method, stats, perms, block_size)
 
 

@@ -316,27 +316,12 @@ def ridge_full_blocked(spark, sf_dir):
     return shown(tested(spark, sf_dir, "blocked"))
 
 
-_THIN_TEST = sql.TEST.format(y="months", beta="thin_beta", t="t").replace("moved AS MATERIALIZED (", "met AS (", 1).replace("sums AS (", "moved AS MATERIALIZED (SELECT p.perm_id, b.feature, b.sample, coalesce(met.value, 0) AS value FROM thin_beta b CROSS JOIN (SELECT DISTINCT perm_id FROM perms) p LEFT JOIN met USING (perm_id, feature, sample)),\nsums AS (", 1)
+_THIN_TEST = sql.TEST.format(y="months", beta="thin_beta", t="t").replace("moved AS MATERIALIZED (", "met AS (", 1).replace("sums AS (", "moved AS MATERIALIZED (SELECT p.perm_id, b.feature, b.sample, coalesce(met.value, 0) AS value, coalesce(met.e, 0) AS e FROM thin_beta b CROSS JOIN (SELECT DISTINCT perm_id FROM perms) p LEFT JOIN met USING (perm_id, feature, sample)),\nsums AS (", 1)
 
 
-#: Values from which a sparse column's p-value is shown: with one or two, a permutation
-#: can bring back the observed coefficient exactly, and the order of a sum decides.
-UNTIED = 5
-
-
-def _untied(y: str) -> str:
-    return sql.RESULT.replace("round(pvalue, 9) AS pvalue FROM result", f"CASE WHEN n >= {UNTIED} THEN round(pvalue, 9) END AS pvalue FROM result JOIN (SELECT sample, count(*) AS n FROM {y} GROUP BY sample) USING (sample)")
-
-
-def untied(result: DataFrame, y: DataFrame) -> DataFrame:
-    counts = y.groupBy("sample").count()
-    return result.join(counts, "sample").withColumn("pvalue", F.when(F.col("count") >= UNTIED, F.col("pvalue"))).drop("count")
-
-
-@query(sql.over(_untied("months"), sql.TWISTER, _THIN, _THIN_TEST))
+@query(sql.over(sql.RESULT, sql.TWISTER, _THIN, _THIN_TEST))
 def ridge_full_sparse(spark, sf_dir):
-    y = y_months(spark, sf_dir)
-    return untied(shown(api.ridge(x_scaled(spark, sf_dir), y, LAMBDA, N_RAND, engine="blocked", n_rows=N)), y)
+    return shown(api.ridge(x_scaled(spark, sf_dir), y_months(spark, sf_dir), LAMBDA, N_RAND, engine="blocked", n_rows=N))
 
 
 @query(sql.tested(sql.RESULT.replace("SELECT feature", "SELECT ((dense_rank() OVER (ORDER BY sample) - 1) // 2)::INT AS batch_id, feature")))
@@ -480,12 +465,12 @@ def ridge_nulls_relational(spark, sf_dir):
 _SPARSE_INFER = "daily AS MATERIALIZED (SELECT c.c_nationkey::INT AS row_idx, o.o_orderpriority || '-' || day(o.o_orderdate) AS sample, sum(o.o_totalprice) / 100000 AS value FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY ALL)," + _INFER.replace("FROM y0) s LEFT JOIN y0 ON", "FROM daily) s LEFT JOIN daily y0 ON")
 
 
-@query(sql.tested(_untied("daily"), "iy", "ibeta", _SPARSE_INFER, t="it"))
+@query(sql.tested(sql.RESULT, "iy", "ibeta", _SPARSE_INFER, t="it"))
 def infer_sparse(spark, sf_dir):
     """An expression table that leaves zeros out, scaled as if it did not."""
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("row_idx"), F.col("n_name").alias("row_key"))
     y, x = y_priced(spark, sf_dir, F.dayofmonth("o_orderdate")).join(names, "row_idx"), x_raw(spark, sf_dir).join(names, "row_idx")
-    return untied(shown(api.infer(y.drop("row_idx"), x.drop("row_idx"), LAMBDA, N_RAND, add_background=True, scale_method="column", engine="blocked")), y)
+    return shown(api.infer(y.drop("row_idx"), x.drop("row_idx"), LAMBDA, N_RAND, add_background=True, scale_method="column", engine="blocked"))
 
 
 # --- planning -----------------------------------------------------------------
@@ -577,8 +562,4 @@ def ridge_full_sparse_all(spark, sf_dir):
     return shown(api.ridge(x_users(spark, sf_dir), y_sparse(spark, sf_dir), LAMBDA, N_RAND, engine="blocked"))
 
 
-#: Queries that once came in a smaller form as well; both names stand for the whole one.
-for _name in ("make_unique", "batch_plan", "sparsify", "densify", "zscore_sparse_nz", "projection_t", "t_rowsum", "ridge_beta", "beta_colnorm", "perm_beta", "perm_stats", "ridge_full", "ridge_full_blocked", "ridge_batched", "infer_pipeline", "summary_stats", "significance_counts", "parity_check"):
-    CATALOGUE[f"{_name}_all"] = CATALOGUE[_name]
-
 __all__ = ["CATALOGUE"]

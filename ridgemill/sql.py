@@ -63,12 +63,18 @@ ys AS MATERIALIZED (SELECT row_idx, sample, (value - avg(value) OVER w) / stddev
 beta AS MATERIALIZED (SELECT feature, sample, sum(t.value * ys.value) AS value FROM t JOIN ys USING (row_idx) GROUP BY ALL)
 """
 
-TEST = """
+#: A factor as a whole number: sums of their products are exact, so that equal coefficients are equal whatever the order of the sum.
+WHOLE = "round({v} * 1000000000000::DOUBLE)::HUGEINT"
+
+TEST = f"""
 moved AS MATERIALIZED (
-  SELECT perm_id, feature, sample, sum(t.value * {y}.value) AS value FROM perms JOIN {y} ON {y}.row_idx = perms.src_idx JOIN {t} t ON t.row_idx = perms.row_idx GROUP BY ALL),
+  SELECT perm_id, feature, sample, sum(t.value * {{y}}.value) AS value, sum({WHOLE.format(v="t.value")} * {WHOLE.format(v="{y}.value")}) AS e
+  FROM perms JOIN {{y}} ON {{y}}.row_idx = perms.src_idx JOIN {{t}} t ON t.row_idx = perms.row_idx GROUP BY ALL),
+seen AS MATERIALIZED (
+  SELECT feature, sample, sum({WHOLE.format(v="t.value")} * {WHOLE.format(v="{y}.value")}) AS e FROM {{t}} t JOIN {{y}} USING (row_idx) GROUP BY ALL),
 sums AS (
-  SELECT m.feature, m.sample, b.value AS beta, sum(m.value) AS s1, sum(m.value * m.value) AS s2, count(*) FILTER (abs(m.value) >= abs(b.value)) AS hits
-  FROM moved m JOIN {beta} b USING (feature, sample) GROUP BY ALL),
+  SELECT m.feature, m.sample, b.value AS beta, sum(m.value) AS s1, sum(m.value * m.value) AS s2, count(*) FILTER (abs(m.e) >= abs(coalesce(s.e, 0))) AS hits
+  FROM moved m JOIN {{beta}} b USING (feature, sample) LEFT JOIN seen s USING (feature, sample) GROUP BY ALL),
 scored AS (SELECT feature, sample, beta, s1 / 100 AS mean, sqrt(greatest(s2 / 100 - (s1 / 100) * (s1 / 100), 0)) AS se, hits FROM sums),
 result AS MATERIALIZED (
   SELECT feature, sample, beta, se, CASE WHEN se > 1e-12 THEN (beta - mean) / se ELSE 0 END AS zscore, (hits + 1) / 101.0::DOUBLE AS pvalue FROM scored)

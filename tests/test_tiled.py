@@ -8,6 +8,7 @@ from test_ridge import cells, close, long, numpy_ridge, random_case
 
 from ridgemill import api
 from ridgemill.functions.permutations import libc_table, mersenne_table, permutation_frame, permutation_tiles
+from ridgemill.operators import solve
 from ridgemill.plans import engines
 
 
@@ -15,7 +16,7 @@ from ridgemill.plans import engines
 def small(monkeypatch):
     """Tiles of 7 rows, blocks of about 2 samples, chunks of a few permutations."""
     monkeypatch.setattr(engines, "BROADCAST_BYTES", 1000)
-    monkeypatch.setattr(engines, "TILE_ROWS", 7)
+    monkeypatch.setattr(solve, "TILE_ROWS", 8)
     monkeypatch.setattr(engines, "TASK_CELLS", 60)
 
 
@@ -42,7 +43,7 @@ def test_sparse_scaled_and_odd_columns(spark, small, monkeypatch):
     yl = long(spark, y, "sample", [f"s{i}" for i in range(6)])
     stats = spark.createDataFrame([(f"s{i}", 0.5 * i, float(i)) for i in range(6)], "sample string, center double, scale double")
     options = {"samples": yl.select("sample").distinct(), "n_rows": 30, "stats": stats}
-    stored, some = yl.where("value <> 0"), xl.where("row_idx not between 7 and 13")  # a tile without cells of x
+    stored, some = yl.where("value <> 0"), xl.where("row_idx not between 8 and 15")  # a tile without cells of x
     got = cells(api.ridge(some, stored, 3.0, 15, engine="tiled", **options))
     monkeypatch.setattr(engines, "BROADCAST_BYTES", 1 << 30)
     close(got, cells(api.ridge(some, stored, 3.0, 15, engine="blocked", **options)))

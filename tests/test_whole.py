@@ -47,15 +47,15 @@ def values(df, column):
 
 def test_every_row_takes_part(spark):
     """All parts and events, whose tables hold more than the older queries read."""
-    names = run(spark, "make_unique_all").collect()
+    names = run(spark, "make_unique").collect()
     assert len(names) == spark.read.parquet(f"{DATA}/part.parquet").count() and len({r["unique_name"] for r in names}) == len(names)
     events = spark.read.parquet(f"{DATA}/events.parquet")
     total = events.agg({"value": "sum"}).first()[0]
-    assert run(spark, "densify_all").agg({"value": "sum"}).first()[0] == pytest.approx(total)
-    days = run(spark, "zscore_sparse_nz_all").count()
+    assert run(spark, "densify").agg({"value": "sum"}).first()[0] == pytest.approx(total)
+    days = run(spark, "zscore_sparse_nz").count()
     assert days == events.selectExpr("user_id", "event_type", "day(ts)").distinct().count()
     part = spark.read.parquet(f"{DATA}/part.parquet").selectExpr("p_size * 10 as m", "p_partkey % 90 as b").collect()
-    assert run(spark, "batch_plan_all").count() == sum(-(-r["m"] // (r["b"] if 0 < r["b"] <= r["m"] else r["m"])) for r in part)
+    assert run(spark, "batch_plan").count() == sum(-(-r["m"] // (r["b"] if 0 < r["b"] <= r["m"] else r["m"])) for r in part)
 
 
 def test_sparse_ridge_over_all_users(spark):
@@ -71,24 +71,24 @@ def test_ridge_on_all_features(spark):
     y, samples = matrix(catalogue.y_scaled(spark, str(DATA)), "sample")
     assert len(features) == 5
     want = expected(x, y, features, samples)
-    for name in ("ridge_full_all", "ridge_full_blocked_all", "ridge_batched_all"):
+    for name in ("ridge_full", "ridge_full_blocked", "ridge_batched"):
         agree(cells(run(spark, name)), want)
     only = {k: v[:1] for k, v in want.items()}
-    agree(values(run(spark, "ridge_beta_all"), "sample"), only)
-    agree(values(run(spark, "beta_colnorm_all"), "sample"), only)
+    agree(values(run(spark, "ridge_beta"), "sample"), only)
+    agree(values(run(spark, "beta_colnorm"), "sample"), only)
     t = np.linalg.solve(x.T @ x + LAMBDA * np.eye(5), x.T)
-    agree(values(run(spark, "projection_t_all"), "row_idx"), {(f, r): (t[i, r],) for i, f in enumerate(features) for r in range(25)})
-    assert {r["feature"]: r["value"] for r in run(spark, "t_rowsum_all").collect()} == pytest.approx(dict(zip(features, t.sum(1), strict=True)), abs=2e-6)
-    moved = {(r["perm_id"], r["feature"], r["sample"]): r["value"] for r in run(spark, "perm_beta_all").collect()}
+    agree(values(run(spark, "projection_t"), "row_idx"), {(f, r): (t[i, r],) for i, f in enumerate(features) for r in range(25)})
+    assert {r["feature"]: r["value"] for r in run(spark, "t_rowsum").collect()} == pytest.approx(dict(zip(features, t.sum(1), strict=True)), abs=2e-6)
+    moved = {(r["perm_id"], r["feature"], r["sample"]): r["value"] for r in run(spark, "perm_beta").collect()}
     table = mersenne_table(25, N_RAND)
     assert moved == pytest.approx({(k, f, s): v for k in range(N_RAND) for f, line in zip(features, t @ y[table[k]], strict=True) for s, v in zip(samples, line, strict=True)}, abs=2e-6)
-    stats = run(spark, "perm_stats_all").collect()
+    stats = run(spark, "perm_stats").collect()
     assert {(r["feature"], r["sample"]): (r["hits"] + 1) / (N_RAND + 1) for r in stats} == pytest.approx({k: v[3] for k, v in want.items()})
     p = np.array([v[3] for v in want.values()])
-    assert {r["level"]: r["hits"] for r in run(spark, "significance_counts_all").collect()} == {k: (p < k).sum() for k in (0.1, 0.05, 0.01, 0.001)}
-    six = {r["measure"]: r for r in run(spark, "summary_stats_all").collect()}
+    assert {r["level"]: r["hits"] for r in run(spark, "significance_counts").collect()} == {k: (p < k).sum() for k in (0.1, 0.05, 0.01, 0.001)}
+    six = {r["measure"]: r for r in run(spark, "summary_stats").collect()}
     assert six["pvalue"]["median"] == pytest.approx(np.median(p), abs=2e-6)
-    assert run(spark, "parity_check_all").first()["verdict"] == "PASS"
+    assert run(spark, "parity_check").first()["verdict"] == "PASS"
 
 
 def test_infer_on_all_features_and_measures(spark):
@@ -104,4 +104,4 @@ def test_infer_on_all_features_and_measures(spark):
     stored = {(r["row_idx"], r["sample"]) for r in catalogue.y_raw(spark, str(DATA)).collect()}
     counts = np.array([sum((i, s) in stored for s in samples) for i in kept])
     x = np.column_stack([x, y.sum(1) / counts])
-    agree(cells(run(spark, "infer_pipeline_all")), expected(x, y, [*features, "background"], samples))
+    agree(cells(run(spark, "infer_pipeline")), expected(x, y, [*features, "background"], samples))
