@@ -44,7 +44,7 @@ TASK_CELLS = 1 << 23
 #: Numbers of a permutation table that the driver makes itself.
 SMALL = 1 << 19
 #: Share of stored cells below which a block is multiplied as compressed columns.
-SPARSE = 1 / 10
+SPARSE = 1 / 16
 
 
 def vectors(y: DataFrame) -> DataFrame:
@@ -84,6 +84,7 @@ class _Columns:
         self.scale = np.where(scale > 0, scale, 1.0)
         self.halved: tuple | None = None
         self.full: dict[int, np.ndarray] = {}
+        self.room: np.ndarray | None = None
 
     def each(self, function, start=0.0) -> np.ndarray:
         """A ufunc's reduction over each sample's values."""
@@ -111,7 +112,7 @@ class _Columns:
         first, second, c1, c2 = self.halves(bits)
         out.names, out.n, out.idx, out.val = [self.names[k] for k in chosen], self.n, self.idx[cells], self.val[cells]
         out.starts, out.center, out.scale = np.append(0, np.cumsum(counts)), self.center[chosen], self.scale[chosen]
-        out.halved, out.full = (first[cells], second[cells], c1[chosen], c2[chosen]), {}
+        out.halved, out.full, out.room = (first[cells], second[cells], c1[chosen], c2[chosen]), {}, None
         return out
 
     def dense(self, val: np.ndarray) -> np.ndarray:
@@ -127,14 +128,18 @@ class _Columns:
         if len(self.idx) >= SPARSE * self.n * len(self.names):
             return (t if order is None else t[order]).T @ self.dense(val)
         out = np.zeros((len(self.names), t.shape[1]))
-        step = max(1, TASK_CELLS // t.shape[1])
-        some = np.flatnonzero(np.diff(self.starts))
+        step = max(1, TASK_CELLS // (8 * t.shape[1]))
         lo = 0
-        while lo < len(some):  # samples whose gathered rows fit
-            hi = max(lo + 1, int(np.searchsorted(self.starts[some + 1], self.starts[some[lo]] + step, "right")))
-            a, b = self.starts[some[lo]], self.starts[some[hi - 1] + 1]
+        while lo < len(self.names):  # samples whose gathered rows fit
+            hi = max(lo + 1, int(np.searchsorted(self.starts, self.starts[lo] + step, "right")) - 1)
+            a, b = self.starts[lo], self.starts[hi]
             at = self.idx[a:b] if order is None else order[self.idx[a:b]]
-            out[some[lo:hi]] = np.add.reduceat(t[at] * val[a:b, None], self.starts[some[lo:hi]] - a, axis=0)
+            if self.room is None or self.room.shape[0] < b - a:
+                self.room = np.empty((b - a, t.shape[1]))
+            rows = np.take(t, at, axis=0, out=self.room[: b - a], mode="clip")
+            ends = (self.starts[lo : hi + 1] - a).tolist()
+            for s, first, last in zip(range(lo, hi), ends[:-1], ends[1:], strict=True):
+                np.dot(val[a + first : a + last], rows[first:last], out=out[s])
             lo = hi
         return out.T
 
