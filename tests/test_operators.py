@@ -135,3 +135,44 @@ def test_environment(spark):
     assert environment.memory_info(spark)["total_memory"] > 0
     assert environment.set_async_mode(True) is False and environment.set_async_mode(False) is True
     assert environment.set_memory_options(False) is True and environment.set_memory_options(True) is False
+
+
+def test_ranges_are_pruned(spark, tmp_path):
+    asked = str(tmp_path / "asked")
+
+    def columns(first, last):
+        with open(asked, "a") as out:
+            out.write(f"{first} {last}\n")
+        return np.arange(first, last + 1)[None, :] * np.ones((3, 1))
+
+    for first, last, ranges, total in ((25, 41, ["25 34", "35 41"], 17 * 33 * 3), (7, 7, ["7 7"], 21), (98, None, ["98 99"], 591), (5, 4, [], None)):
+        open(asked, "w").close()
+        assert matrices.read_ranges(spark, columns, 3, 100, 10, first, last).agg({"value": "sum"}).first()[0] == total
+        assert sorted(set(open(asked).read().split("\n")) - {""}) == ranges
+    whole = matrices.read_ranges(spark, columns, 3, 100, 10)
+    matrices.lay_out(whole, str(tmp_path / "y"), 10)
+    read = spark.read.parquet(str(tmp_path / "y"))
+    part = align.slice_samples(read, 25, 41)
+    assert part.count() == 51 and "sample_ord" in part._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+    assert read.selectExpr("input_file_name() as f", "sample_ord").groupBy("f").agg({"sample_ord": "max"}).count() == 10
+
+
+def test_wide_matrix_round_trip(spark, tmp_path):
+    rows, columns = 2_000, 20_000
+    cells = spark.range(rows * columns, numPartitions=16).selectExpr(f"concat('f', cast(id / {columns} as int)) as feature", f"concat('s', id % {columns}) as sample", "case when id % 7 = 0 then null else cast(xxhash64(id) as double) / 1e18 end as beta")
+    path = str(tmp_path / "wide")
+    matrices.write_wide(cells, path)
+    back = matrices.read_cells(spark, path)
+    assert len(back._jdf.queryExecution().executedPlan().toString()) < 10_000
+    digest = lambda df, value: df.selectExpr("count(*) as n", f"count({value}) as filled", f"sum(cast(xxhash64(feature, sample, {value}) as decimal(38, 0))) as all").first()
+    assert tuple(digest(back, "value")) == tuple(digest(cells, "beta"))
+
+
+def test_fields_of_any_kind(spark, table, tmp_path):
+    result = table([('a,"b"', 'x,"y"', 1.5), ('a,"b"', "z", None), ("c\td", "z", math.inf), ("e", "z", math.nan), ("g", 'x,"y"', 1e-300)], "feature string, sample string, beta double")
+    for sep in (",", "\t"):
+        matrices.write_wide(result, str(tmp_path / "out"), sep=sep)
+        back = {(r["feature"], r["sample"]): r["value"] for r in matrices.read_cells(spark, str(tmp_path / "out"), sep).collect()}
+        assert len(back) == 8 and back['a,"b"', 'x,"y"'] == 1.5 and back['a,"b"', "z"] is None and back["c\td", "z"] == math.inf and math.isnan(back["e", "z"]) and back["g", 'x,"y"'] == 1e-300
+    (tmp_path / "odd.csv").write_text("k,a,b,c\r\nr1,1_0,0x1, 2 \r\nr2,3\r\n")
+    assert sorted((r["row_key"], r["sample"], r["value"]) for r in matrices.read_long(spark, str(tmp_path / "odd.csv")).collect() if r["value"] is not None) == [("r1", "c", 2.0), ("r2", "a", 3.0)]
