@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ridgemill.functions.permutations import check_table, permutation_frame
@@ -33,7 +33,7 @@ def _check(x: DataFrame, y: DataFrame, lam: float, n_rand: int) -> None:
 
 def ridge(
     x: DataFrame, y: DataFrame, lam: float = 5e5, n_rand: int = 1000, seed: int = 0, rng_method: str = "mt19937", engine: str | None = None,
-    samples: DataFrame | None = None, n_rows: int | None = None, stats: DataFrame | None = None, perms: DataFrame | None = None, block_size: int = BLOCK,
+    samples: DataFrame | None = None, n_rows: int | None = None, stats: DataFrame | None = None, perms: DataFrame | None = None, block_size: int = BLOCK, watch: Observation | None = None,
 ) -> DataFrame:
     """(feature, sample, beta, se, zscore, pvalue): ridge coefficients of every
     response column and their two-sided row-permutation test.
@@ -46,7 +46,8 @@ def ridge(
     be too large) or ``tiled``; None chooses by size, and all give the same
     numbers: ties of coefficients are decided exactly. `perms` (perm_id, row_idx, src_idx) is a permutation table of the
     caller, which is checked, in place of the generated one; `block_size` is the
-    number of samples that a task of the last two multiplies at a time. No
+    number of samples that a task of the last two multiplies at a time; `watch`
+    counts negative variances (negative_variances) as the result is made. No
     intercept is fitted. Null and missing values count as 0, cells that repeat
     add up, and NaN in a column gives z = 0 and the smallest p for it. No
     samples give no rows.
@@ -71,9 +72,9 @@ def ridge(
         rows = samples.select("sample").distinct().join(rows, "sample", "left").select("sample", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("val", F.array().cast("array<double>")).alias("val"))
     if engine == "relational":
         perms = keep(permutation_frame(spark, n_rows, n_rand, seed, rng_method)) if perms is None else perms
-        return relational(x, rows, lam, n_rand, n_rows, perms, stats)
+        return relational(x, rows, lam, n_rand, n_rows, perms, stats, watch)
     run = blocked if engine == "blocked" and fits(n_rows, x.agg(F.count_distinct("feature")).first()[0], n_rand) else tiled
-    return run(x, rows, lam, n_rand, n_rows, seed, rng_method, stats, perms, block_size)
+    return run(x, rows, lam, n_rand, n_rows, seed, rng_method, stats, perms, block_size, watch)
 
 
 def ridge_lowlevel(x: DataFrame, y: DataFrame, lam: float = 1.0, n_rand: int = 1000, sparse: bool = False, batch_size: int = 0, **options) -> RidgeRun:
@@ -83,7 +84,8 @@ def ridge_lowlevel(x: DataFrame, y: DataFrame, lam: float = 1.0, n_rand: int = 1
 
     `batch_size` is the number of samples that a task multiplies at a time; 0,
     or with a warning more than there are samples, leaves it to the engine,
-    which takes as many as a task's memory allows."""
+    which takes as many as a task's memory allows. Once the result has been made,
+    `RidgeRun.check` warns of negative variances."""
     top = x.agg(F.max("row_idx")).first()[0] if x is not None else None
     p = x.agg(F.count_distinct("feature")).first()[0] if x is not None else 0
     run = RidgeRun(None, Status.OK, 0 if top is None else top + 1, p, lam, n_rand, sparse)
@@ -100,6 +102,7 @@ def ridge_lowlevel(x: DataFrame, y: DataFrame, lam: float = 1.0, n_rand: int = 1
                 warnings.warn(run.warnings[-1], stacklevel=2)
             else:
                 options["block_size"] = batch_size
+        run.watch = options.setdefault("watch", Observation())
         run.result = ridge(x, y, lam, n_rand, **options)
     except RidgeError as error:
         run.status = error.status

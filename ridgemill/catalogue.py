@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgemill import api, sql
-from ridgemill.functions.permutations import libc_table, permutation_frame
+from ridgemill.functions.permutations import permutation_frame
 from ridgemill.operators import align, scale, significance, solve
 from ridgemill.plans import memory
 from ridgemill.sources.matrices import read_cells, read_long, union_metadata, write_measures, write_wide
@@ -282,12 +282,13 @@ def t_rowsum(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {sql.TWISTER} SELECT perm_id, row_idx, src_idx FROM perms")
 def perm_table(spark, sf_dir):
-    return permutation_frame(spark, N, N_RAND)
+    """Permutations of the nations."""
+    return permutation_frame(spark, table(spark, sf_dir, "nation").count(), N_RAND)
 
 
 @query()
 def libc_perm(spark, sf_dir):
-    return spark.createDataFrame([(r, i, int(v)) for r, row in enumerate(libc_table(N, 10)) for i, v in enumerate(row)], "perm_id int, row_idx int, src_idx int")
+    return permutation_frame(spark, table(spark, sf_dir, "nation").count(), 10, method="srand")
 
 
 def _permuted(spark, sf_dir):
@@ -400,9 +401,11 @@ def measure_files(spark, sf_dir):
     return shown(parts[0].join(parts[1], keys).join(parts[2], keys).join(parts[3], keys))
 
 
-@query(sql.tested("SELECT 'orders' AS dataset, 2.5::DOUBLE AS execution_time_sec, 64.0::DOUBLE AS peak_memory_mb, 100 AS n_rand, 10.0::DOUBLE AS lambda, 25 AS n_rows, count(DISTINCT sample) AS n_samples FROM result"))
+@query(sql.tested("SELECT 'orders' AS dataset, true AS timed, true AS weighed, 100 AS n_rand, 10.0::DOUBLE AS lambda, 25 AS n_rows, count(*) AS n_cells, count(DISTINCT feature) AS n_features, count(DISTINCT sample) AS n_samples FROM result"))
 def run_metadata(spark, sf_dir):
-    return significance.run_metadata(tested(spark, sf_dir, "blocked"), "orders", 2.5, 64, N_RAND, LAMBDA, N)
+    """A measured run. How long it took and how much memory differs each time: the SQL compares that they were measured, and the counts."""
+    _, told = significance.run_metadata(tested(spark, sf_dir, "blocked"), "orders", N_RAND, LAMBDA, N)
+    return told.select("dataset", (F.col("execution_time_sec") > 0).alias("timed"), (F.col("peak_memory_mb") > 1).alias("weighed"), "n_rand", "lambda", "n_rows", "n_cells", "n_features", "n_samples")
 
 
 _BATCHES = sql.RESULT.replace("SELECT feature", "SELECT ((dense_rank() OVER (ORDER BY sample) - 1) // 2)::INT AS batch_id, feature")

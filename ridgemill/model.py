@@ -7,6 +7,7 @@ their order, which permutations index. Sparse tables leave rows of value 0 out.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from enum import IntEnum
 
@@ -62,11 +63,21 @@ class RidgeRun:
     n_rand: int
     sparse: bool = False
     warnings: list[str] = field(default_factory=list)
+    watch: object = None
 
     @property
     def message(self) -> str:
         return MESSAGES[self.status]
 
+    def check(self) -> int:
+        """How many variances were negative beyond rounding, with a warning if any; to
+        be called when the result has been made."""
+        found = self.watch.get["negative_variances"] if self.result is not None else 0
+        if found:
+            self.warnings.append(f"{found} variances were negative and count as 0")
+            warnings.warn(self.warnings[-1], stacklevel=2)
+        return found
+
     def describe(self) -> str:
         """A text header of the run."""
         return "\n".join([f"ridge run: {self.message}", f"  rows x features: {self.n_rows} x {self.n_features}", f"  lambda: {self.lam:g}", f"  permutations: {self.n_rand}", f"  response: {'sparse' if self.sparse else 'dense'}"])

@@ -23,12 +23,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ridgemill.functions import exact
 from ridgemill.functions.permutations import permutation_frame, permutation_rows, permutation_table, table_array, table_rows
-from ridgemill.model import RESULT, SE_FLOOR
 from ridgemill.operators.significance import finalise
 from ridgemill.operators.solve import projection_tiles, tile_rows
 from ridgemill.plans.memory import require_memory
@@ -203,7 +202,7 @@ def _moves(spark, n: int, n_rand: int, seed: int, method: str, perms: DataFrame
     return moves
 
 
-def blocked(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, seed: int, method: str, stats: DataFrame | None = None, perms: DataFrame | None = None, block_size: int = BLOCK) -> DataFrame:
+def blocked(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, seed: int, method: str, stats: DataFrame | None = None, perms: DataFrame | None = None, block_size: int = BLOCK, watch: Observation | None = None) -> DataFrame:
     """The result table from `vectors` rows; with `stats` (sample, center, scale) of
     centred and scaled columns. `perms` is a caller's permutation table,
     `block_size` the samples multiplied at a time. A block with few stored cells is
@@ -216,7 +215,6 @@ def blocked(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int,
 
     def run(batches):
         t, moves = sent.value
-        names = np.array(features, dtype=object)
         sums, norms = t.sum(axis=0)[:, None], np.sqrt((t * t).sum(axis=0))
         whole: list[np.ndarray] = []  # the projection's whole numbers and their sums, made when first asked for
 
@@ -252,17 +250,18 @@ def blocked(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int,
                             yield k, columns.product(t, order, columns.val) - sums * columns.center
 
                 s1, s2, hits = _test(columns, beta, permuted(), n_rand, _slack(columns, norms, powers, bits), decide)
-                beta = beta / columns.scale
-                mean = s1 / n_rand
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    se = np.sqrt(np.maximum(s2 / n_rand - mean * mean, 0))
-                    z = np.where(se > SE_FLOOR, (beta - mean) / se, 0.0)
-                pvalue = np.minimum(1.0, (hits + 1) / (n_rand + 1))
-                samples = np.tile(np.array(columns.names, dtype=object), p)
-                out = [np.repeat(names, len(columns.names)), samples, beta.ravel(), se.ravel(), z.ravel(), pvalue.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.float64()) for i, c in enumerate(out)], names=["feature", "sample", "beta", "se", "zscore", "pvalue"])
+                yield _sums(features, columns, beta, s1, s2, hits)
+
+    return finalise(_listed(y_vectors, stats).mapInArrow(run, SUMS), n_rand, watch)
+
 
-    return _listed(y_vectors, stats).mapInArrow(run, RESULT)
+SUMS = "feature string, sample string, beta double, s1 double, s2 double, hits long"
+
+
+def _sums(features: list[str], columns: _Columns, beta: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
+    """Rows of SUMS, features x samples, from coefficients before scaling."""
+    who = [np.repeat(np.array(features, dtype=object), len(columns.names)), np.tile(np.array(columns.names, dtype=object), len(features))]
+    return pa.RecordBatch.from_arrays([*(pa.array(w, pa.string()) for w in who), *(pa.array(c.ravel()) for c in (beta / columns.scale, *sums))], names=["feature", "sample", "beta", "s1", "s2", "hits"])
 
 
 def fits(n: int, p: int, n_rand: int) -> bool:
@@ -306,7 +305,7 @@ def _halved_samples(listed: DataFrame, n: int, bits: int, cells: bool) -> DataFr
     return listed.mapInArrow(run, "sample string, src_idx int, y double, b1 long, b2 long" if cells else "sample string, center double, scale double, c1 long, c2 long, fine boolean")
 
 
-def relational(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, perms: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def relational(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, perms: DataFrame, stats: DataFrame | None = None, watch: Observation | None = None) -> DataFrame:
     """The result table from `vectors` rows, as joins and aggregations."""
     features, tiles, tops = projection_tiles(x, lam, n)
     bits = exact.width(n)
@@ -335,7 +334,7 @@ def relational(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: i
     plain = ~F.isnan("raw") & ~F.isnan("raw0") & (F.abs("raw") >= F.abs("raw0"))
     hit = F.when(F.col("fine"), F.col("far") >= F.col("far0")).otherwise(plain)
     b = F.col("value")
-    return finalise(both.groupBy("feature", "sample", "beta").agg(F.sum(b).alias("s1"), F.sum(b * b).alias("s2"), F.count_if(hit).alias("hits")), n_rand)
+    return finalise(both.groupBy("feature", "sample", "beta").agg(F.sum(b).alias("s1"), F.sum(b * b).alias("s2"), F.count_if(hit).alias("hits")), n_rand, watch)
 
 
 def _tile_pieces(tiles: DataFrame, p: int) -> DataFrame:
@@ -390,7 +389,7 @@ def _group_pieces(listed: DataFrame, groups: int) -> DataFrame:
     return listed.select(grp, "*").repartition("grp").sortWithinPartitions("grp", "sample").mapInArrow(run, "key long, data binary")
 
 
-def tiled(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, seed: int, method: str, stats: DataFrame | None = None, perms: DataFrame | None = None, block_size: int = BLOCK) -> DataFrame:
+def tiled(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, seed: int, method: str, stats: DataFrame | None = None, perms: DataFrame | None = None, block_size: int = BLOCK, watch: Observation | None = None) -> DataFrame:
     """As `blocked`, at sizes where neither the projection nor the permutation
     table may be held whole. A task holds one group of samples (n times as many
     cells) and the sums of its run of permutations."""
@@ -408,7 +407,6 @@ def tiled(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, s
 
     def run(batches):
         by_tile, by_perm, by_group = sent.value
-        names = np.array(features, dtype=object)
         places = sorted(by_tile.places)
 
         def tile(at):
@@ -466,14 +464,12 @@ def tiled(x: DataFrame, y_vectors: DataFrame, lam: float, n_rand: int, n: int, s
                         at = np.searchsorted(every, some[k])
                         whole[k] = exact.at_least(pairs, (there[0][:, at], there[1][:, at]))
                 s1, s2, hits = _test(columns, beta, enumerate(moved, first), n_rand, slack, lambda k, some, whole=whole: whole[k])
-                beta = beta / columns.scale
-                who = [np.repeat(names, len(columns.names)), np.tile(np.array(columns.names, dtype=object), p)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(w, pa.string()) for w in who), *(pa.array(c.ravel()) for c in (beta, s1, s2, hits))], names=["feature", "sample", "beta", "s1", "s2", "hits"])
+                yield _sums(features, columns, beta, s1, s2, hits)
 
     jobs = groups * chunks
-    parts = spark.range(0, jobs, 1, jobs).mapInArrow(run, "feature string, sample string, beta double, s1 double, s2 double, hits long")
+    parts = spark.range(0, jobs, 1, jobs).mapInArrow(run, SUMS)
     whole = parts.groupBy("feature", "sample").agg(F.max("beta").alias("beta"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("hits").alias("hits"))
-    return finalise(whole, n_rand)
+    return finalise(whole, n_rand, watch)
 
 
 def _few(wanted: dict, most: int):

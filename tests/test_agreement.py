@@ -87,3 +87,56 @@ def test_keys_are_numbered_over_ranges(spark):
     assert by_key == {k: i for i, k in enumerate(sorted(by_key))} and len(by_key) == 333
     by_place = {r["row_key"]: r["row_idx"] for r in align.common_keys(y, x, order="place").collect()}
     assert by_place == {k: i for i, k in enumerate(sorted(by_place, reverse=True))}
+
+
+def test_a_killed_run_is_resumed(spark, tmp_path):
+    _, y, xl, _ = random_case(spark)
+    table = long(spark, y, "sample", [f"s{i}" for i in range(6)], order=True)
+    out, asked = str(tmp_path / "out"), []
+
+    def reader(first, last, broken=True):
+        asked.append(first)
+        if broken and first == 4:
+            raise RuntimeError("killed")
+        return align.slice_samples(table, first, last)
+
+    run = lambda source, **options: ridge_batch(xl, source, 2.0, 10, batch_size=2, n_samples=6, output=out, engine="blocked", **options)
+    with pytest.raises(RuntimeError, match="killed"):
+        run(reader)
+    assert {r["batch_id"] for r in spark.read.parquet(out).select("batch_id").collect()} == {0, 1}
+    asked.clear()
+    assert run(lambda a, b: reader(a, b, broken=False), resume=True)["num_batches"] == 3 and asked == [4]
+    whole = cells(api.ridge(xl, table, 2.0, 10, engine="blocked"))
+    close(cells(spark.read.parquet(out)), whole, 1e-12)
+    asked.clear()
+    run(reader, resume=True)  # nothing is left to do
+    assert asked == [] and spark.read.parquet(out).count() == 24
+    with pytest.raises(ValueError, match="other parameters"):
+        ridge_batch(xl, reader, 3.0, 10, batch_size=2, n_samples=6, output=out, engine="blocked", resume=True)
+    run(table)  # replaces
+    close(cells(spark.read.parquet(out)), whole, 1e-12)
+    run(table, resume=True)
+    assert spark.read.parquet(out).count() == 24
+    with pytest.raises(ValueError, match="expected 30"):
+        run(table.where("row_idx <> 3"), complete=True)
+
+
+def test_a_batch_whose_tasks_fail_is_not_published(spark, tmp_path):
+    from ridgemill.sources.batch_sink import BatchSink, published
+
+    out = f"file://{tmp_path}/out"
+    spark.dataSource.register(BatchSink)
+    rows = spark.range(8, numPartitions=4).selectExpr("cast(id % 3 as int) as batch_id", "id as v")
+    write = lambda df: df.write.format("ridge_batches").mode("append").option("folder", out).option("told", "x").save()
+    with pytest.raises(Exception, match="stop"):
+        write(rows.selectExpr("batch_id", "if(v = 7, raise_error('stop'), v) as v"))
+    assert published(out, "x") == set()
+    write(rows.where("batch_id <> 1"))
+    write(rows.where("batch_id <> 1"))  # the same batches again: once
+    assert published(out, "x") == {0, 2} and sorted(r["v"] for r in spark.read.parquet(out).collect()) == [0, 2, 3, 5, 6]
+
+
+def test_runs_tell_of_negative_variances(spark):
+    _, _, xl, yl = random_case(spark)
+    run = api.ridge_lowlevel(xl, yl, 2.0, 10, engine="blocked")
+    assert run.result.count() == 24 and run.result.collect() and run.check() == 0

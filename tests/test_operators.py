@@ -91,8 +91,10 @@ def test_summary(table):
     assert {x["level"]: x["hits"] for x in significance.significant(r).collect()} == {0.1: 9, 0.05: 4, 0.01: 0, 0.001: 0}
     text = significance.summary_text(r)
     assert "beta" in text and "p < 0.05: 4" in text
-    meta = significance.run_metadata(r, "d", 1.5, 10, 5, 2, 30).first().asDict()
-    assert meta["n_samples"] == 2 and meta["lambda"] == 2.0 and meta["dataset"] == "d"
+    kept, told = significance.run_metadata(r, "d", 5, 2, 30)
+    meta = told.first().asDict()
+    assert meta["n_samples"] == 2 and meta["lambda"] == 2.0 and meta["dataset"] == "d" and meta["n_cells"] == kept.count() == 12
+    assert 0 < meta["execution_time_sec"] < 60 and meta["peak_memory_mb"] > 1
 
 
 def test_memory(table):
@@ -176,3 +178,24 @@ def test_fields_of_any_kind(spark, table, tmp_path):
         assert len(back) == 8 and back['a,"b"', 'x,"y"'] == 1.5 and back['a,"b"', "z"] is None and back["c\td", "z"] == math.inf and math.isnan(back["e", "z"]) and back["g", 'x,"y"'] == 1e-300
     (tmp_path / "odd.csv").write_text("k,a,b,c\r\nr1,1_0,0x1, 2 \r\nr2,3\r\n")
     assert sorted((r["row_key"], r["sample"], r["value"]) for r in matrices.read_long(spark, str(tmp_path / "odd.csv")).collect() if r["value"] is not None) == [("r1", "c", 2.0), ("r2", "a", 3.0)]
+
+
+@pytest.mark.parametrize(("bins", "few"), [(1024, 4096), (4, 3), (2, 0)])
+def test_order_statistics(spark, monkeypatch, bins, few):
+    monkeypatch.setattr(significance, "BINS", bins)
+    monkeypatch.setattr(significance, "FEW", few)
+    rng = np.random.default_rng(1)
+    data = {"a": np.round(rng.normal(size=400), 1), "b": np.append(rng.normal(size=300) ** 7, [math.inf, -math.inf, -math.inf, 5e-324]), "flat": np.ones(9), "one": np.array([3.0])}
+    values = spark.createDataFrame([(m, float(v)) for m, column in data.items() for v in column], "measure string, v double")
+    wanted = {m: set(range(0, len(column), 1 + len(column) // 7)) | {len(column) - 1} for m, column in data.items()}
+    found = significance.order_statistics(values, wanted)
+    assert found == {(m, k): float(np.sort(data[m])[k]) for m, ranks in wanted.items() for k in ranks}
+
+
+def test_negative_variances_are_told(spark, table):
+    from pyspark.sql import Observation
+
+    watch = Observation()
+    sums = table([("f", "s", 1.0, 10.0, 9.0, 1), ("f", "t", 1.0, 10.0, 10.0, 1)], "feature string, sample string, beta double, s1 double, s2 double, hits long")
+    got = {r["sample"]: r["se"] for r in significance.finalise(sums, 10, watch).collect()}
+    assert got == {"s": 0.0, "t": 0.0} and watch.get == {"negative_variances": 1}
