@@ -49,18 +49,36 @@ def drop_background(result: DataFrame, name: str = "background") -> DataFrame:
     return result.where(F.col("feature") != name)
 
 
+def running_sum(df: DataFrame, key: str, order: list[str], amount: Column, name: str) -> DataFrame:
+    """`df` with `name`: the sum of `amount` over the rows of the same key up to each
+    row, in order. Rows are dealt out in ranges of key and order and summed within
+    each; a range begins where those before it end, so that no task sees all rows of
+    a frequent key. Rows that are equal in key and order have one order among them."""
+    dealt = keep(df.withColumn("__amount", amount).repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
+    totals = dealt.groupBy("__part", F.col(key).alias("__key")).agg(F.sum("__amount").alias("__total"))  # of a key as many rows as it has ranges
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).withColumnRenamed("__part", "__range").drop("__total")
+    own = F.sum("__amount").over(Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = dealt.withColumn("__own", own)
+    joined = placed.join(offsets, (F.col("__part") == F.col("__range")) & F.col(key).eqNullSafe(F.col("__key")))
+    return joined.withColumn(name, F.col("__own") + F.col("__before")).select(*df.columns, name)
+
+
 def make_unique(names: DataFrame, name: str = "name", order: str = "ord") -> DataFrame:
     """`names` with a column unique_name: the first of equal names stays, later
     ones get ``.1``, ``.2`` ... in order; a suffixed name that some row has as its
-    own name is not used, the count goes on."""
-    numbered = names.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1)
+    own name is not used, the count goes on. Null names stay null."""
+    one = F.lit(1).cast("long")
+    numbered = running_sum(names, name, [order], one, "__n").withColumn("__n", F.col("__n") - 1)
+    # the j-th taken suffix s of a name moves on all repeats from the (s - j + 1)-th one
     taken = names.select(F.col(name).alias("__taken")).distinct()
-    # the k-th repeat takes the k-th free suffix: with t taken suffixes, one of the first k + t is it
-    used = taken.select(F.regexp_extract("__taken", r"(?s)^(.*)\.([0-9]+)$", 1).alias(name), F.expr("try_cast(regexp_extract(__taken, '(?s)^(.*)[.]([1-9][0-9]*)$', 2) as bigint)").alias("s"))
-    used = used.where(F.col("s").isNotNull()).groupBy(name).agg(F.array_sort(F.collect_set("s")).alias("__used"))
-    shift = F.aggregate(F.coalesce("__used", F.array().cast("array<bigint>")), F.col("__n").cast("bigint"), lambda acc, s: F.when(s <= acc, acc + 1).otherwise(acc))
-    joined = numbered.join(used, name, "left")
-    return joined.withColumn("unique_name", F.when(F.col("__n") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("."), shift.cast("string")))).drop("__n", "__used")
+    used = taken.select(F.regexp_extract("__taken", r"(?s)^(.*)\.([0-9]+)$", 1).alias(name), F.expr("try_cast(regexp_extract(__taken, '(?s)^(.*)[.]([1-9][0-9]*)$', 2) as bigint)").alias("__s"))
+    used = running_sum(used.where(F.col("__s").isNotNull()), name, ["__s"], one, "__j")
+    moves = used.select(name, (F.col("__s") - F.col("__j") + 1).alias("__n"), F.lit(0).alias("__kind"))
+    both = numbered.withColumn("__kind", F.lit(1)).unionByName(moves, allowMissingColumns=True)
+    shifted = running_sum(both, name, ["__n", "__kind"], (1 - F.col("__kind")).cast("long"), "__shift").where("__kind = 1")
+    suffix = (F.col("__n") + F.col("__shift")).cast("string")
+    return shifted.withColumn("unique_name", F.when(F.col("__n") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("."), suffix))).select(*names.columns, "unique_name")
 
 
 def finite_pairs(pairs: DataFrame) -> DataFrame:

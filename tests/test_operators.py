@@ -65,6 +65,18 @@ def test_make_unique(table):
     assert out == want
 
 
+def test_a_frequent_name_is_no_single_task(spark, table):
+    names = ["a"] * 3000 + [f"a.{k}" for k in range(1, 400, 3)] + [None, None, "a.x", "a.01"]
+    random.Random(4).shuffle(names)
+    out = align.make_unique(table([(i, n, "kept") for i, n in enumerate(names)], "ord int, name string, other string"))
+    assert out.columns == ["ord", "name", "other", "unique_name"]
+    got = [r["unique_name"] for r in out.orderBy("ord").collect()]
+    assert len(got) == len(names) and got.count(None) == 2 and len(set(got)) == len(names) - 1
+    free = (f"a.{k}" for k in range(1, 5000) if f"a.{k}" not in set(names))
+    first = names.index("a")
+    assert got == [n if n != "a" or i == first else next(free) for i, n in enumerate(names)]
+
+
 def test_sparse_and_dense(table):
     y = table([(0, "s", 1.0), (1, "t", 0.0), (1, "s", math.nan)], CELLS)
     assert len(values(align.sparsify(y))) == 2
