@@ -96,7 +96,7 @@ def _rows(parts: list[tuple]) -> pa.RecordBatch:
 
 def _stretches(length: int):
     """Each stretch of a wanted anchor: its first window, number of windows, the
-    anchor's place in it, a hash and the 32-bit codes of its words."""
+    anchor's place in it, a hash and the 64-bit codes of its words."""
     gram = min(GRAM, length)
 
     def run(batches):
@@ -118,8 +118,8 @@ def _stretches(length: int):
                     starts, ends = edges[near], np.append(edges[1:], len(low))[near]
                     grams = textops.shingles(own, gram)
                     places = [int((grams[s : s + length - gram + 1] == low[s]).argmax()) for s in starts.tolist()]
-                    short = (own >> np.uint64(32)).astype("<u4")
-                    codes = [short[s : e + length - 1].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    whole = own.astype("<u8")
+                    codes = [whole[s : e + length - 1].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                     out.append((low[starts], ids[i], want[i], starts, ends - starts, np.array(places, np.int64), textops.run_hashes(own, starts, ends + length - 1), codes))
                 if out:
                     yield _rows(out)
@@ -144,7 +144,7 @@ def _pieces(length: int, width: int, first: bool):
         for batch in batches:
             out = []
             for doc, seq, at, n, pos, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "seq", "at", "n", "pos", "codes")), strict=True):
-                values = textops.mix(np.frombuffer(raw, "<u4").astype(np.uint64) + np.uint64(1))
+                values = textops.mix(np.frombuffer(raw, "<u8") + np.uint64(1))
                 place = np.full(n, pos)
                 if first and n > pos + 1:  # the anchor comes again: from there on the next one counts
                     grams = textops.shingles(values, gram)
@@ -156,7 +156,7 @@ def _pieces(length: int, width: int, first: bool):
                 place, near = place[starts], group[starts] * width
                 far = np.minimum(near + width - 1, widest)
                 keys = textops.mix(textops.run_hashes(values, place - near, place - far + length) + near.astype(np.uint64))
-                codes = [raw[4 * s : 4 * (e + length - 1)] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                codes = [raw[8 * s : 8 * (e + length - 1)] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 out.append((keys, doc, seq, at + starts, ends - starts, place - starts, textops.run_hashes(values, starts, ends + length - 1), codes))
             if out:
                 yield _rows(out)
@@ -195,7 +195,7 @@ def _later(length: int):
             for key, doc, seq, at, codes in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "seq", "at", "codes")), strict=True):
                 if shard is None or shard.key != key:
                     shard = _Shard(key)
-                late = shard.late(doc, np.frombuffer(codes, "<u4").tolist(), length)
+                late = shard.late(doc, np.frombuffer(codes, "<u8").tolist(), length)
                 if len(late):
                     edges = np.flatnonzero(np.append(True, np.diff(late) > 1))
                     docs += [doc] * len(edges)
