@@ -59,6 +59,8 @@ def _designs(batches, rows: int, p: int) -> Iterator[tuple[int, np.ndarray]]:
     tile, design = None, None
     for batch in batches:
         at, row, f, value = (batch.column(c).to_numpy() for c in ("tile", "row_idx", "f", "value"))
+        if len(row) and row.min() < 0:
+            raise ValueError("row_idx of x must not be negative")
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if lo == hi:

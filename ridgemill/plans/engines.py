@@ -72,6 +72,8 @@ class _Columns:
         idx, val = part.column("idx"), part.column("val")
         of = np.repeat(np.arange(part.num_rows), np.diff(idx.offsets.to_numpy()))
         idx, val = idx.flatten().to_numpy(), pc.fill_null(val.flatten(), 0.0).to_numpy(zero_copy_only=False)
+        if len(idx) and (idx.min() < 0 or idx.max() >= n):
+            raise ValueError(f"row_idx of y must be 0..{n - 1}")
         order = np.lexsort((val, idx, of))
         of, idx, val = of[order], idx[order], val[order]
         heads = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(idx, prepend=-1) != 0))

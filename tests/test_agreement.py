@@ -140,3 +140,14 @@ def test_runs_tell_of_negative_variances(spark):
     _, _, xl, yl = random_case(spark)
     run = api.ridge_lowlevel(xl, yl, 2.0, 10, engine="blocked")
     assert run.result.count() == 24 and run.result.collect() and run.check() == 0
+
+
+@pytest.mark.parametrize("engine", ["relational", "blocked", "tiled"])
+def test_rows_outside_of_the_matrix_are_errors(spark, engine):
+    _, _, xl, yl = random_case(spark, m=1)
+    moved = lambda df: df.withColumn("row_idx", df["row_idx"] - 1)
+    for x, y in ((moved(xl), yl), (xl, moved(yl))):
+        with pytest.raises(Exception, match="row_idx of"):
+            api.ridge(x, y, 2.0, 4, engine=engine, n_rows=30).collect()
+    with pytest.raises(Exception, match="row_idx of y must be 0..19"):
+        api.ridge(xl.where("row_idx < 20"), yl, 2.0, 4, engine=engine, n_rows=20).collect()
