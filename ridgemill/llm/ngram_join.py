@@ -12,8 +12,11 @@ its transpose is never formed whole:
   many documents share stay out of it.
 * Columns with up to BUCKET rows give their pairs; overlap counts accumulate per
   pair, and pairs below the bound are discarded before rows are fetched.
-* Columns with more rows give no pairs. Their rows form groups, the groups are
-  cut into blocks of bounded rows and shingles by row size and hash. Blocks are
+* Columns with more rows give no pairs. A row with fewer than DEPTH of them still
+  shares short columns with whatever it links to, and its pairs need that many
+  fewer of those. So texts with one passage in common, be they ever so many, are
+  not compared with each other. The other rows form groups, which are cut into
+  blocks of bounded rows and shingles by row size and hash. Blocks are
   multiplied in tasks (`_product`), which return a spanning forest of their
   links, not the links: first each with itself, then those pairs whose sizes are
   compatible and that may still join rows not known to be together.
@@ -245,6 +248,27 @@ def _overlaps(percent: int):
     return run
 
 
+def _light(longs: Column, n: Column, percent: int) -> Column:
+    """Whether a row of n shingles, `longs` of whose first ones are long columns,
+    shares a short column with whatever it links to."""
+    return longs < F.least(F.lit(DEPTH), F.ceil(n * percent / 100))
+
+
+def _candidates(pairs: DataFrame, longs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of short columns (a, b, na, nb) whose overlap count reaches the bound.
+
+    Two linked rows share `enough` of their first columns, long ones included. A
+    pair can share no more long ones than the row that has fewer, so that many
+    less suffice. Two rows that are not light meet in blocks for that.
+    """
+    enough = F.least(F.lit(DEPTH), F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)))
+    counted = pairs.groupBy("a", "b", "na", "nb").count().withColumn("missing", enough - F.col("count"))
+    sides = [longs.select(F.col("doc_id").alias(c), F.col("longs").alias(f"longs_{c}")) for c in "ab"]
+    few = counted.where("missing > 0").join(sides[0], "a").join(sides[1], "b").where(F.col("missing") <= F.least("longs_a", "longs_b"))
+    few = few.where(_light(F.col("longs_a"), F.col("na"), percent) | _light(F.col("longs_b"), F.col("nb"), percent))
+    return counted.where("missing <= 0").select("a", "b").union(few.select("a", "b")).distinct()
+
+
 def _cuts(members: DataFrame, *by: str) -> DataFrame:
     """(component, step, *by, cuts): blocks for the rows of a step, by shingles and by rows."""
     return members.groupBy("component", "step", *by).agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / ROWS)).cast("int").alias("cuts"))
@@ -336,11 +360,13 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     columns = named.mapInArrow(_columns(width, percent, frequent), "token long, n long, sig long, doc_id long")
     found = keep(columns.repartition("token").sortWithinPartitions("token", "n", "sig", "doc_id").mapInArrow(_pairs(percent), "token long, a long, b long, na long, nb long"))
 
-    least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    pairs = found.where("token is null").groupBy("a", "b", "na", "nb").count().where(F.col("count") >= F.least(F.lit(DEPTH), least)).select("a", "b").distinct()
-    pairs = keep(pairs)
-
     long = found.where("token is not null").select("token", F.col("a").alias("doc_id"), F.col("na").alias("n"))
+    longs = keep(long.groupBy("doc_id").agg(F.count("*").alias("longs")))
+    pairs = keep(_candidates(found.where("token is null"), longs, percent))
+
+    # the other rows have all their partners among the pairs
+    heavy = long.join(longs, "doc_id").withColumn("light", _light(F.col("longs"), F.col("n"), percent))
+    long = heavy.where("not light").select("token", "doc_id", "n")
     stars = keep(long.groupBy("token").agg(F.min("doc_id").alias("b")))
     grouped = components(long.join(stars.hint("merge"), "token").select(F.col("doc_id").alias("a"), "b"))
     members = long.select("doc_id", "n").distinct().join(grouped.withColumnRenamed("node", "doc_id"), "doc_id")
