@@ -44,7 +44,7 @@ BUCKET = 16
 #: A shingle in more rows counts as frequent. Only the order depends on it; as
 #: BUCKET or less, it keeps frequent shingles out of the first product.
 FREQUENT = BUCKET
-#: Most frequent shingles that are broadcast (8 bytes each).
+#: Most frequent shingles of each of two counts, which are broadcast (8 bytes each).
 MOST_FREQUENT = 1_000_000
 #: Shingles in a block of rows.
 BLOCK = 400_000
@@ -69,48 +69,98 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def _profile(width: int, percent: int):
-    """Size, two signatures and the first shingles by hash of each row."""
+def _profile(width: int):
+    """Size, two signatures and the shingles by hash of each row."""
 
     def run(batches):
         for block, sets in _sets(batches, width):
-            sums, xors, heads = [], [], []
+            sums, xors = [], []
             for s in sets:
                 mixed = textops.mix(s ^ np.uint64(0x5851F42D4C957F2D))
                 sums.append(int(mixed.sum(dtype=np.uint64)))
                 xors.append(int(np.bitwise_xor.reduce(textops.mix(mixed))) if len(s) else 0)
-                need = len(s) - _bound(len(s), percent) + DEPTH
-                heads.append(s[: max(need, len(s) // 5 + DEPTH)])
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(sums), _signed(xors), textops.lists(heads, pa.int64())],
-                names=["doc_id", "n_shingles", "sig_a", "sig_b", "head"],
+                [block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(sums), _signed(xors), textops.lists(sets, pa.int64())],
+                names=["doc_id", "n_shingles", "sig_a", "sig_b", "tokens"],
             )
 
     return run
 
 
-def _columns(width: int, percent: int, frequent):
-    """The columns of the first product: (token, n, sig, doc_id)."""
+def _stored(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The shingles of each row of a table of them, by hash."""
+    column = batch.column("tokens")
+    at, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _among(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(hot, s)
+    at[at == len(hot)] = 0
+    return hot[at] == s if len(hot) else np.zeros(len(s), bool)
+
+
+def _head(n, percent: int):
+    """How many of a row's first shingles by hash are counted first."""
+    return max(n - _bound(n, percent), n // 5) + DEPTH
+
 
-    def common(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(hot, s)
-        at[at == len(hot)] = 0
-        return hot[at] == s if len(hot) else np.zeros(len(s), bool)
+def _counts(percent: int, frequent=None):
+    """(token, n): how many rows of a batch have a shingle, of the first ones by
+    hash; with `frequent`, of all shingles of the rows that have one of these
+    among their first."""
+
+    def run(batches):
+        for batch in batches:
+            sets = _stored(batch)
+            heads = [s[: _head(len(s), percent)] for s in sets]
+            if frequent is not None:
+                heads = [s for s, head in zip(sets, heads, strict=True) if _among(head, frequent.value).any()]
+            if heads:
+                tokens, n = np.unique(np.concatenate(heads), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+    return run
+
+
+def _frequent(rows: DataFrame, percent: int):
+    """A broadcast of shingles that more than FREQUENT rows have.
+
+    First those that are frequent among the rows' first shingles by hash, then
+    all those that are so in the rows which have one of the former. Of each, at
+    most MOST_FREQUENT are sent, the most frequent ones.
+    """
+    found, shared = np.zeros(0, np.uint64), None
+    for _ in range(2):
+        counted = rows.select("tokens").mapInArrow(_counts(percent, shared), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
+        counted = keep(counted)
+        most = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token")
+        found = np.union1d(found, np.array([r.token for r in most.toLocalIterator()], dtype=np.int64).view(np.uint64))
+        shared = rows.sparkSession.sparkContext.broadcast(found)
+        discard(counted)
+        if not len(found):
+            break
+    return shared
+
+
+def _columns(percent: int, frequent):
+    """The columns of the first product: (token, n, sig, doc_id)."""
 
     def run(batches):
         hot = frequent.value
-        for block, sets in _sets(batches, width):
-            ids = block.column("doc_id").to_numpy(zero_copy_only=False)
+        for batch in batches:
+            sets = _stored(batch)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             tokens, sizes, sigs, counts = [], [], [], []
             for s in sets:
                 need = min(len(s), len(s) - _bound(len(s), percent) + DEPTH)
                 head = s[: 2 * need]
-                rare = head[~common(head, hot)][:need]
+                rare = head[~_among(head, hot)][:need]
                 if len(rare) < need and len(head) < len(s):
-                    is_hot = common(s, hot)
+                    is_hot = _among(s, hot)
                     rare = np.concatenate([s[~is_hot], s[is_hot]])[:need]
                 elif len(rare) < need:
-                    rare = np.concatenate([rare, head[common(head, hot)]])[:need]
+                    rare = np.concatenate([rare, head[_among(head, hot)]])[:need]
                 tokens.append(rare)
                 counts.append(len(rare))
                 sizes.append(len(s))
@@ -346,18 +396,13 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     none. Columns other than doc_id and text are ignored. No rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    first = keep(docs.mapInArrow(_profile(width, percent), "doc_id long, n_shingles long, sig_a long, sig_b long, head array<long>"))
-    profile = keep(first.drop("head"))
+    # texts are read once: what follows works on their sets of shingles
+    first = keep(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, sig_a long, sig_b long, tokens array<long>"))
+    profile = keep(first.drop("tokens"))
     classes = profile.where("n_shingles > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
 
-    counts = keep(first.select(F.explode("head").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT))
-    discard(first)
-    hot = np.array([r.token for r in counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toLocalIterator()], dtype=np.int64)
-    frequent = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
-
-    named = docs.where(F.col("doc_id").isNotNull())
-    columns = named.mapInArrow(_columns(width, percent, frequent), "token long, n long, sig long, doc_id long")
+    named = first.where(F.col("doc_id").isNotNull()).select("doc_id", "tokens")
+    columns = named.mapInArrow(_columns(percent, _frequent(first, percent)), "token long, n long, sig long, doc_id long")
     found = keep(columns.repartition("token").sortWithinPartitions("token", "n", "sig", "doc_id").mapInArrow(_pairs(percent), "token long, a long, b long, na long, nb long"))
 
     long = found.where("token is not null").select("token", F.col("a").alias("doc_id"), F.col("na").alias("n"))
@@ -374,12 +419,9 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(members.select("doc_id")).distinct()
 
-    def tokens(batches):
-        for block, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), textops.lists(sets, pa.int64())], names=["doc_id", "tokens"])
-
     # the ids grow with the input: they are shuffled, not broadcast, at every size
-    sets = keep(named.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, tokens array<long>"))
+    sets = keep(named.join(needed.hint("merge"), "doc_id", "left_semi"))
+    discard(first)
 
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")

@@ -58,3 +58,50 @@ def test_one_passage_in_many_documents(spark, table, monkeypatch):
         want[d] = sum(gone)
     got = substring_dedup.dedup_passages(table(rows, "doc_id long, text string").repartition(7), 50)
     assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == want
+
+
+def _on_one_template(rng, n, common, own, near):
+    """Texts of `common` words that all have and `own` ones of their own; `near` more are changed copies of some."""
+    base = [f"t{i}" for i in range(common)]
+    rows = [[*base, *(f"u{d}w{i}" for i in range(own))] for d in range(n)]
+    for k in range(near):
+        copy = list(rows[k])
+        copy[rng.randrange(common)] = f"y{k}"
+        rows.append(copy)
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    return [(d, " ".join(rows[k])) for d, k in enumerate(order)]
+
+
+def test_texts_on_one_template_meet_no_blocks(table, monkeypatch):
+    """The template's shingles are long columns, but fewer than DEPTH are among a
+    text's first ones: all links are found, and no text is in a block."""
+    seen = []
+    linked = ngram_join._linked_blocks
+    monkeypatch.setattr(ngram_join, "_linked_blocks", lambda members, *rest: seen.append(members.count()) or linked(members, *rest))
+    rows = _on_one_template(random.Random(5), 150, 80, 22, 40)
+    got = ngram_join.ngram_join(table(rows, DOCS), 3, 80)
+    want = brute_join(rows, 3, 80)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert len({c for _, _, c in want}) == 150 and seen == [0]
+
+
+def test_long_columns_of_every_number(table, monkeypatch):
+    """From texts with few long columns to texts of little else, in every mixture of both."""
+    monkeypatch.setattr(ngram_join, "ROWS", 40)
+    rng = random.Random(8)
+    rows = []
+    for common, own in [(80, 22), (80, 20), (80, 18), (80, 14), (40, 2), (6, 1)]:
+        rows += [text for _, text in _on_one_template(rng, 25, common, own, 12)]
+    rows = list(enumerate(rows))
+    for percent in (80, 90):
+        got = ngram_join.ngram_join(table(rows, DOCS), 3, percent)
+        assert sorted(tuple(r) for r in got.collect()) == brute_join(rows, 3, percent)
+
+
+def test_many_unlinked_texts_on_one_template(spark):
+    """20,000 texts that share 78 of 100 words and are linked to nothing."""
+    own = F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), "id") for i in range(22)])
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.lit(f"t{i}") for i in range(78)], own).alias("text"))
+    got = ngram_join.ngram_join(docs, 3, 80)
+    assert got.where("component_id = doc_id").count() == 20_000 and got.count() == 20_000
