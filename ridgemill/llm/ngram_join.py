@@ -100,25 +100,33 @@ def _among(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[at] == s if len(hot) else np.zeros(len(s), bool)
 
 
-def _head(n, percent: int):
-    """How many of a row's first shingles by hash are counted first."""
-    return max(n - _bound(n, percent), n // 5) + DEPTH
+def _need(n: int, percent: int) -> int:
+    """How many of a row's first columns enter the first product."""
+    return min(n, n - _bound(n, percent) + DEPTH)
 
 
 def _counts(percent: int, frequent=None):
-    """(token, n): how many rows of a batch have a shingle, of the first ones by
-    hash; with `frequent`, of all shingles of the rows that have one of these
-    among their first."""
+    """(token, n): how many rows of a batch have a shingle, of the first ones by hash.
+
+    With `frequent`: of those that a row's first columns may reach, given the share
+    of frequent ones among its first, for the rows where one more may be unknown.
+    """
+
+    def reach(s: np.ndarray, size: int, hot: np.ndarray) -> int:
+        known = int(_among(s[:size], hot).sum())
+        lacks = _need(len(s), percent) - (size - known)
+        if lacks * known < size - known or not lacks:
+            return 0
+        return len(s) if known == size else size + int(1.5 * lacks * size / (size - known)) + DEPTH
 
     def run(batches):
         for batch in batches:
-            sets = _stored(batch)
-            heads = [s[: _head(len(s), percent)] for s in sets]
-            if frequent is not None:
-                heads = [s for s, head in zip(sets, heads, strict=True) if _among(head, frequent.value).any()]
-            if heads:
-                tokens, n = np.unique(np.concatenate(heads), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+            heads = []
+            for s in _stored(batch):
+                size = min(len(s), max(_need(len(s), percent), len(s) // 5 + DEPTH))
+                heads.append(s[: size if frequent is None else reach(s, size, frequent.value)])
+            tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *heads]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
     return run
 
@@ -127,8 +135,8 @@ def _frequent(rows: DataFrame, percent: int):
     """A broadcast of shingles that more than FREQUENT rows have.
 
     First those that are frequent among the rows' first shingles by hash, then
-    all those that are so in the rows which have one of the former. Of each, at
-    most MOST_FREQUENT are sent, the most frequent ones.
+    those that are so further on in the rows which have many of the former. Of
+    each, at most MOST_FREQUENT are sent, the most frequent ones.
     """
     found, shared = np.zeros(0, np.uint64), None
     for _ in range(2):
@@ -153,7 +161,7 @@ def _columns(percent: int, frequent):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             tokens, sizes, sigs, counts = [], [], [], []
             for s in sets:
-                need = min(len(s), len(s) - _bound(len(s), percent) + DEPTH)
+                need = _need(len(s), percent)
                 head = s[: 2 * need]
                 rare = head[~_among(head, hot)][:need]
                 if len(rare) < need and len(head) < len(s):
