@@ -404,7 +404,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     none. Columns other than doc_id and text are ignored. No rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # texts are read once: what follows works on their sets of shingles
+    # one reading of all texts gives their sets; those that are compared are made again, so that both are never stored at once
     first = keep(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, sig_a long, sig_b long, tokens array<long>"))
     profile = keep(first.drop("tokens"))
     classes = profile.where("n_shingles > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -412,6 +412,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     named = first.where(F.col("doc_id").isNotNull()).select("doc_id", "tokens")
     columns = named.mapInArrow(_columns(percent, _frequent(first, percent)), "token long, n long, sig long, doc_id long")
     found = keep(columns.repartition("token").sortWithinPartitions("token", "n", "sig", "doc_id").mapInArrow(_pairs(percent), "token long, a long, b long, na long, nb long"))
+    discard(first)
 
     long = found.where("token is not null").select("token", F.col("a").alias("doc_id"), F.col("na").alias("n"))
     longs = keep(long.groupBy("doc_id").agg(F.count("*").alias("longs")))
@@ -427,9 +428,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(members.select("doc_id")).distinct()
 
-    # the ids grow with the input: they are shuffled, not broadcast, at every size
-    sets = keep(named.join(needed.hint("merge"), "doc_id", "left_semi"))
-    discard(first)
+    def tokens(batches):
+        for block, rows in _sets(batches, width):
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), textops.lists(rows, pa.int64())], names=["doc_id", "tokens"])
+
+    # the ids grow with the input: they are shuffled, not broadcast, at every size; texts are smaller than sets
+    sets = keep(docs.where(F.col("doc_id").isNotNull()).join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, tokens array<long>"))
 
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
