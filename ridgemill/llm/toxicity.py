@@ -84,7 +84,7 @@ def _blocks(batches):
 
 def _tally(batches):
     """(bucket, toxic, clean): occurrences by label, at most REPEATS of a document;
-    bucket -1 has all words."""
+    bucket -1 has the sums over words, counted alike."""
     counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)
     words = np.zeros(2, dtype=np.int64)
     for block, first, forms in _blocks(batches):
@@ -92,7 +92,7 @@ def _tally(batches):
         for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
             used, n = np.unique(forms[:, a:b], return_counts=True)
             counts[labels[i], used] += np.minimum(n, REPEATS)
-            words[labels[i]] += b - a
+            words[labels[i]] += np.minimum(np.unique(forms[0, a:b], return_counts=True)[1], REPEATS).sum()
     counts = counts[:, :BUCKETS]
     used = np.flatnonzero(counts.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, used)), pa.array(np.append(words[1], counts[1, used])), pa.array(np.append(words[0], counts[0, used]))], names=["bucket", "toxic", "clean"])
@@ -117,7 +117,7 @@ def token_scores(weights: np.ndarray, forms: np.ndarray) -> np.ndarray:
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (begin, end, score) of a score sequence, by
     the linear-time list of candidates with left and right cumulative sums."""
-    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    sums = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
     found: list[list] = []
     for i in np.flatnonzero(scores > 0):
         left, right, begin, end = sums[i], sums[i + 1], i, i + 1
