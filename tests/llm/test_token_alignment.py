@@ -86,6 +86,50 @@ def test_any_text(plain, texts):
             assert list(zip((keys & 0xFFFFFFFF).tolist(), (keys >> 32).tolist(), strict=True)) == want[3]
 
 
+def encoded(known, monkeypatch):
+    """The texts that go to the second vocabulary from now on."""
+    seen, b = [], known.b
+
+    class Seen:
+        def encode(self, texts, **more):
+            seen.extend(texts)
+            return b.encode(texts, **more)
+
+    monkeypatch.setattr(known, "b", Seen())
+    return seen
+
+
+def test_new_chunks_are_encoded_together(plain, monkeypatch):
+    known = token_alignment.Aligner(A, B)
+    seen = encoded(known, monkeypatch)
+    texts = [" ".join(f"w{i}x{k % 700}, é{k}" for k in range(400)) + f"\n x{i}" for i in range(12)]
+    got = known.documents(texts)
+    chunks = len({c for t in texts for c in t.split(" ")})
+    assert chunks > 5000 and sum(len(t.split(" ")) for t in seen) == chunks and len(seen) < chunks / 50
+    texts += ["one ▁ is told apart " + texts[0], "ok " * 30 + "a  b \n c", "▁", " x"]
+    got = known.documents(texts)
+    for text, x in zip(texts, got, strict=True):
+        want = plain(text)
+        assert (x is None) == (want is None)
+        assert x is None or (x[0], x[1], x[2], x[3], len(x[4])) == (len(want[0]), len(want[1]), len(want[2]), ";".join(want[2]), len(want[3]))
+
+
+@pytest.mark.parametrize("limits", [{"MEMO": 60}, {"ROOM": 200}])
+def test_frequent_chunks_stay_known(plain, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(token_alignment, name, value)
+    known = token_alignment.Aligner(A, B)
+    seen = encoded(known, monkeypatch)
+    for i in range(8):
+        texts = ["the often often the once" + "".join(f" n{i}q{k}" for k in range(50)) + " " + "x" * 70] * 2
+        want = plain(texts[0])
+        for x in known.documents(texts):
+            assert (x[3], len(x[4])) == (";".join(want[2]), len(want[3]))
+    words = [w for t in seen for w in t.split(" ")]
+    assert [words.count(w) for w in ("the", "often")] == [1, 1]
+    assert len(known) < 160 and known.n_links < 800
+
+
 @pytest.mark.parametrize("limits", [{}, {"SHARD": 50, "GATHER": 40}, {"MEMO": 3}])
 def test_align(spark, table, monkeypatch, plain, limits):
     for name, value in limits.items():
